@@ -46,14 +46,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said["base"], 256).alias("base_sha256"), said["spans"].alias("spans"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
-        "op10_pii": op10_pii,
         "op2_toxicity": op2_toxicity,
         "op5_packing": op5_packing,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
+        "op10_pii": op10_pii,
+        "pipeline": pipeline,
     }
 
 
