@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countspark.llm import bpe, packing, pii, simhash, token_counts, toxicity
+from countspark.llm import bpe, packing, pii, quotes, sharding, simhash, token_counts, toxicity
 from countspark.llm.common import table
 
 
@@ -25,6 +25,73 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.grade(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return places.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+
+
+def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+OP4_SQL = r"""
+WITH RECURSIVE said AS (
+  SELECT conv_id, turn, role, text, regexp_split_to_array(text, '\r?\n') AS lines,
+         row_number() OVER () AS part
+  FROM conversations
+), every AS (
+  SELECT part, conv_id, turn, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos
+  FROM said WHERE conv_id IS NOT NULL AND turn IS NOT NULL
+), marked AS (
+  SELECT *, regexp_extract(line, '^((?:[ \t]*>)+)', 1) AS marks FROM every
+), quoted AS (
+  SELECT part, conv_id, turn, pos, length(regexp_replace(marks, '[^>]', '', 'g')) AS level, substr(line, length(marks) + 1) AS line
+  FROM marked WHERE marks <> ''
+), opened AS (
+  SELECT *, CASE WHEN lag(pos) OVER w IS NOT NULL AND (lag(pos) OVER w <> pos - 1 OR lag(level) OVER w <> level) THEN 1 ELSE 0 END AS opens
+  FROM quoted WINDOW w AS (PARTITION BY part ORDER BY pos)
+), passages AS (
+  SELECT *, sum(opens) OVER (PARTITION BY part ORDER BY pos) AS passage FROM opened
+), whole AS (
+  SELECT conv_id, turn, level, string_agg(line, ' ' ORDER BY pos) AS line, count(*) + 1 AS weight
+  FROM passages GROUP BY part, conv_id, turn, level, passage
+), sought AS (
+  SELECT conv_id, turn, level, trim(regexp_replace(lower(line), '\s+', ' ', 'g'), ' ') AS said, weight
+  FROM (SELECT conv_id, turn, level, line, weight FROM whole UNION ALL SELECT conv_id, turn, level, line, 1 FROM quoted)
+), own_lines AS (
+  SELECT part, conv_id, turn, pos, line FROM marked WHERE marks = ''
+), own AS (
+  SELECT conv_id, turn, trim(regexp_replace(lower(line), '\s+', ' ', 'g'), ' ') AS said
+  FROM (SELECT conv_id, turn, line FROM own_lines
+        UNION ALL SELECT conv_id, turn, string_agg(line, ' ' ORDER BY pos) FROM own_lines GROUP BY part, conv_id, turn)
+), firsts AS (
+  SELECT conv_id, said, min(turn) AS original FROM own WHERE said <> '' GROUP BY conv_id, said
+), votes AS (
+  SELECT s.conv_id, s.turn, s.level, f.original, sum(s.weight) AS weight
+  FROM sought s JOIN firsts f ON s.conv_id = f.conv_id AND s.said = f.said AND f.original < s.turn
+  GROUP BY s.conv_id, s.turn, s.level, f.original
+), parents AS (
+  SELECT conv_id, turn, original AS parent_turn FROM votes
+  QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY level, weight DESC, original) = 1
+), up AS (
+  SELECT conv_id, turn, parent_turn, parent_turn AS root_turn, 1 AS depth FROM parents
+  UNION ALL
+  SELECT u.conv_id, u.turn, u.parent_turn, p.parent_turn, u.depth + 1
+  FROM up u JOIN parents p ON p.conv_id = u.conv_id AND p.turn = u.root_turn
+), placed AS (
+  SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY conv_id, turn ORDER BY depth DESC) = 1
+), clean AS (
+  SELECT conv_id, turn, role, text, len(list_filter(lines, lambda x: regexp_matches(x, '^[ \t]*>'))) AS n,
+         array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, '^[ \t]*>')), chr(10)) AS own
+  FROM said
+)
+SELECT c.conv_id, c.turn, c.role, CASE WHEN n > 0 THEN regexp_replace(own, '^\s+|\s+$', '', 'g') ELSE text END AS text,
+       CAST(coalesce(n, 0) AS BIGINT) AS n_quoted_lines, p.parent_turn AS parent_turn,
+       coalesce(p.root_turn, c.turn) AS root_turn, CAST(coalesce(p.depth, 0) AS BIGINT) AS depth
+FROM clean c LEFT JOIN placed p ON p.conv_id = c.conv_id AND p.turn = c.turn
+"""
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -56,6 +123,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_bpe": op1_bpe,
         "op2_toxicity": op2_toxicity,
+        "op3_sharding": op3_sharding,
+        "op4_quotes": op4_quotes,
         "op5_packing": op5_packing,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
@@ -65,4 +134,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_quotes": OP4_SQL}
