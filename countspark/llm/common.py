@@ -94,3 +94,23 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def blocked(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
+    """Each row once for every task that needs it, with the columns i and j of the task, so that every pair of rows of a key
+    meets in one.
+
+    A key with up to `block` rows is one task, (0, 0); a larger one is split into blocks by a hash of `by`, and each pair of blocks is a task.
+    """
+    large = materialise(rows.groupBy(*keys).count().filter(F.col("count") > block))
+    blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64(by, F.lit(7)), F.col("_blocks")).cast("int")
+    return (
+        rows.join(large, keys, "left")
+        .withColumn("_blocks", blocks)
+        .withColumn("_own", own)
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .withColumn("i", F.least("_own", "_other"))
+        .withColumn("j", F.greatest("_own", "_other"))
+        .drop("count", "_blocks", "_own", "_other")
+    )
