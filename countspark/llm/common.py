@@ -97,8 +97,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def blocked(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
-    """Each row once for every task that needs it, with the columns i and j of the task, so that every pair of rows of a key
-    meets in one.
+    """Each row once for every task that needs it, with its block `own` and the columns i and j of the task, so that every
+    pair of rows of a key meets in one whose blocks are theirs.
 
     A key with up to `block` rows is one task, (0, 0); a larger one is split into blocks by a hash of `by`, and each pair of blocks is a task.
     """
@@ -108,9 +108,9 @@ def blocked(rows: DataFrame, keys: list[str], by: str, block: int) -> DataFrame:
     return (
         rows.join(large, keys, "left")
         .withColumn("_blocks", blocks)
-        .withColumn("_own", own)
+        .withColumn("own", own)
         .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .withColumn("i", F.least("_own", "_other"))
-        .withColumn("j", F.greatest("_own", "_other"))
-        .drop("count", "_blocks", "_own", "_other")
+        .withColumn("i", F.least("own", "_other"))
+        .withColumn("j", F.greatest("own", "_other"))
+        .drop("count", "_blocks", "_other")
     )

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countspark.llm import bpe, edit_embedding, packing, pii, quotes, sharding, simhash, token_counts, toxicity
+from countspark.llm import bpe, edit_embedding, embeddings, packing, pii, quotes, sharding, simhash, token_counts, toxicity
 from countspark.llm.common import table
 
 
@@ -96,6 +96,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.against_edits(table(spark, sf_dir, "documents"))
 
@@ -130,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_sharding": op3_sharding,
         "op4_quotes": op4_quotes,
         "op5_packing": op5_packing,
+        "op6_embeddings": op6_embeddings,
         "op7_edit_embedding": op7_edit_embedding,
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
