@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from countspark.llm.common import ship
 from countspark.llm.split import byte_bpe_pieces
 
-CACHE = 400_000  # pieces whose ids a worker keeps
+CACHE = 700_000  # pieces whose ids a worker keeps
+PAIRS = 500_000  # pairs of neighbours whose validity a worker keeps
 
 
 class PrefixBpe:
@@ -32,7 +33,13 @@ class PrefixBpe:
         self.tokens = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._follows: dict[tuple[int, int], bool] = {}
+        self._follows: dict[int, bool] = {}
+        self.size = max(self.tokens) + 1
+        self.usable = {t: i for t, i in ranks.items() if self.halves(i)}
+        # The length of the longest token that ends in some three bytes.
+        self.reach: dict[bytes, int] = {}
+        for t in self.usable:
+            self.reach[t[-3:]] = max(len(t), self.reach.get(t[-3:], 0))
 
     def halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes a token; (token, token) for one byte; None if no merges lead to it."""
@@ -66,22 +73,28 @@ class PrefixBpe:
                 bound, right = right + 1, self.halves(right)[0]
 
     def may_follow(self, left: int, right: int) -> bool:
-        key = (left, right)
+        key = left * self.size + right
         if (known := self._follows.get(key)) is None:
-            if len(self._follows) > 2_000_000:
+            if len(self._follows) > PAIRS:
                 self._follows.clear()
             known = self._follows[key] = self._stays(left, right, float("inf"))
         return known
 
     def extend(self, text: bytes, last: list[int], stop: Callable[[int], bool] | None = None) -> None:
         """Append the valid last token of each further prefix of text to last; stop(prefix length) ends it early."""
-        ranks, tokens, longest = self.ranks, self.tokens, self.longest
+        usable, reach, size, follows = self.usable.get, self.reach.get, self.size, self._follows.get
         for end in range(len(last) + 1, len(text) + 1):
-            for start in range(max(0, end - longest), end):
-                token = ranks.get(text[start:end])
-                if token is not None and self.halves(token) and (not start or self.may_follow(last[start - 1], token)):
-                    last.append(token)
-                    break
+            start = end - reach(text[end - 3 : end], 2) if end > 2 else 0
+            for start in range(max(start, 0), end):
+                if (token := usable(text[start:end])) is None:
+                    continue
+                if start:
+                    if (known := follows(last[start - 1] * size + token)) is None:
+                        known = self.may_follow(last[start - 1], token)
+                    if not known:
+                        continue
+                last.append(token)
+                break
             else:
                 raise ValueError(f"the vocabulary lacks the byte {text[end - 1 : end]!r}")
             if stop and stop(end):
@@ -152,11 +165,12 @@ class _Packed(dict):
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
         self.bpe = bpe
+        self.packed = {i: i.to_bytes(4, "little") for i in bpe.tokens}.__getitem__
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        ids = self[piece] = np.array(self.bpe.encode(piece.encode()), "<u4").tobytes()
+        ids = self[piece] = b"".join(map(self.packed, self.bpe.encode(piece.encode())))
         return ids
 
 
