@@ -13,6 +13,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,19 +23,19 @@ from pyspark.sql import functions as F
 from countspark.llm.common import materialise, ship
 from countspark.llm.split import usual, word_bpe_pieces
 
-CACHE = 300_000  # pieces whose ids a worker keeps
+CACHE = 700_000  # pieces whose ids a worker keeps
 
 
-class _WordIds(dict):
-    """The ids of pieces as little-endian bytes; many missing ones are encoded at once."""
+class _WordIds:
+    """A tokenizer with the ids of pieces as little-endian bytes; many missing ones are encoded at once."""
 
     def __init__(self, path: str):
-        super().__init__()
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
+        self.known: dict[str, bytes] = {}  # of this very type: a set's difference() looks up in it instead of walking it
         self.whole = Tokenizer.from_file(path)
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = normalizers.Sequence([])
@@ -46,12 +47,14 @@ class _WordIds(dict):
         if "<|" in text or not usual(low):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = word_bpe_pieces(low)
-        if len(self) > CACHE:
-            self.clear()
-        if missing := list({p for p in parts if p not in self}):
-            for p, found in zip(missing, self.pieces.encode_batch_fast(missing, add_special_tokens=False)):
-                self[p] = np.array(found.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, parts))
+        if len(self.known) > CACHE:
+            self.known.clear()
+        if missing := list(set(parts).difference(self.known)):
+            found = [x.ids for x in self.pieces.encode_batch_fast(missing, add_special_tokens=False)]
+            ends = np.cumsum([4 * len(x) for x in found]).tolist()
+            packed = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            self.known.update(zip(missing, [packed[s:e] for s, e in zip([0, *ends], ends)]))
+        return b"".join(map(self.known.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
