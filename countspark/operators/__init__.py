@@ -1 +1 @@
-
+"""Counts, suppression, models, metrics and analyses over DataFrames."""

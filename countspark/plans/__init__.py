@@ -1 +1 @@
-
+"""Specs, the filter language and the registered queries."""

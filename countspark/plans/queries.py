@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 
 from countspark.functions import clinical, strings
 from countspark.functions.math import DOUBLING, apply_platt, power_law, recalibrate
-from countspark.operators import analysis, counts, metrics, suppress
+from countspark.operators import analysis, baselines, counts, metrics, report, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
-from countspark.plans.spec import RISK, risk_view, test_of, train_of
-from countspark.sources import scan
+from countspark.plans.spec import RISK, DatasetSpec, risk_view, test_of, train_of
+from countspark.sources import datagen, records, scan
+from countspark.streaming import counts as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES = RISK.features
@@ -719,6 +720,93 @@ def scaling_law(spark, sf_dir):
     return rounded(rows.select("row_count", power_law(71.0, 370_000, F.col("row_count"), DOUBLING).alias("seconds")), 3)
 
 
+@query()
+def generate_fraud(spark, sf_dir):
+    df = datagen.fraud(spark, 20_000)
+    return df.groupBy("fraud_type", (F.col("risk_level") >= 50).cast("int").alias("y")).agg(F.count("*").alias("cnt"))
+
+
+@query()
+def generate_screening(spark, sf_dir):
+    return rounded(datagen.screening(spark, 20_000).groupBy("age_group").agg(F.count("*").alias("cnt"), F.avg("cancer_5yr").alias("rate")))
+
+
+@query()
+def validate_records(spark, sf_dir):
+    return records.violations(datagen.fraud(spark, 5_000), records.FRAUD, records.FRAUD_BOUNDS)
+
+
+@query("SELECT o_orderpriority, count(*) AS n, " + _R("avg(CAST(o_orderstatus = 'F' AS DOUBLE))") + " AS share_pos FROM orders GROUP BY 1")
+def batch_distribution(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").withColumn("done", F.col("o_orderstatus") == "F")
+    return rounded(records.batch_distribution(df, "o_orderpriority", "done"))
+
+
+@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS BIGINT) % 101 >= 50 AS INTEGER) AS is_high_risk FROM orders WHERE o_totalprice = floor(o_totalprice)")
+def derived_label(spark, sf_dir):
+    df = read(spark, sf_dir, "orders").filter(F.col("o_totalprice") == F.floor("o_totalprice")).withColumn("risk_level", F.pmod(F.col("o_totalprice").cast("long"), F.lit(101)))
+    return records.derive_label(df).select("o_orderkey", "is_high_risk")
+
+
+# ---- streams
+
+
+def _events(spark, sf_dir):
+    schema = read(spark, sf_dir, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+@query("SELECT event_type AS value, 'event_type' AS feature, count(*) FILTER (WHERE value >= 10) AS n_pos, count(*) FILTER (WHERE value < 10) AS n_neg FROM events GROUP BY 1")
+def stream_marginals(spark, sf_dir):
+    spec = DatasetSpec({"event_type": ["click", "error", "purchase", "signup", "view"]})
+    stream = _events(spark, sf_dir).withColumn("y", (F.col("value") >= 10).cast("int"))
+    return _drained(spark, streams.marginal_stream(stream, spec))
+
+
+@query("SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    timed = _events(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
+    found = _drained(spark, streams.windowed_counts(timed, "ts", ["event_type"]))
+    return found.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _drained(spark, counted: DataFrame) -> DataFrame:
+    import tempfile
+    import uuid
+
+    name = f"stream_{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/countspark-scratch"
+    return streams.drain(counted, name, f"{root.rstrip('/')}/{name}")
+
+
+# ---- baselines and reports
+
+
+def _baseline(kind: str) -> Query:
+    def run(spark, sf_dir):
+        view = risk_view(spark, sf_dir).select(*KEYS, "y", *FEATURES)
+        with held(train_of(view)) as train:
+            model = baselines.fit(kind, train, RISK)
+        return rounded(baselines.transform(model, test_of(view), RISK).select(*KEYS, *([] if kind == "svm" else ["risk"]), "pred"))
+
+    run.__name__ = f"baseline_{kind}"
+    return run
+
+
+for _kind in ("tree", "logistic", "svm"):
+    query()(_baseline(_kind))
+
+
+@query(f"WITH {NB_SQL} SELECT CAST(y AS INTEGER) AS actual, pred AS predicted, count(*) AS n FROM nb GROUP BY 1, 2")
+def confusion_cells(spark, sf_dir):
+    return report.confusion_cells(nb_scored(spark, sf_dir))
+
+
+@query()
+def decisions(spark, sf_dir):
+    return report.decisions(rounded(nb_scored(spark, sf_dir).select(*KEYS, "risk")), KEYS, order=[*KEYS, "risk"])
+
+
 def queries() -> dict[str, Query]:
     return dict(_TABLES)
 

@@ -1 +1 @@
-
+"""Reading, writing, checking and generating records."""
