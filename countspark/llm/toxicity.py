@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from countspark.llm.common import ship
 
-SAMPLE = 5000  # labelled documents that a fit reads, in the order of a hash of their ids
+SAMPLE = 7000  # labelled documents that a fit reads, in the order of a hash of their ids
 FEATURES = 1024  # features that a fit keeps
 SUPPORT = 6  # toxic documents of the sample that a kept feature is in, at least
 GRADES = 3  # grades above 0
@@ -44,14 +44,30 @@ def text_features(text: str) -> tuple[list[int], list[int]]:
     return keys, [counts[k] for k in keys]
 
 
-def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-6, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+@dataclass
+class Rows:
+    """A sparse matrix by its entries."""
+
+    row: np.ndarray
+    col: np.ndarray
+    value: np.ndarray
+    shape: tuple[int, int]
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, self.value * w[self.col], self.shape[0])
+
+    def sums(self, d: np.ndarray) -> np.ndarray:
+        return np.bincount(self.col, self.value * d[self.row], self.shape[1])
+
+
+def fit_ordinal(x: Rows, y: np.ndarray, grades: int, ridge: float = 1e-6, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the proportional-odds model, by Adam on the mean negative log-likelihood."""
     w, t = np.zeros(x.shape[1]), np.linspace(1, 1 + grades, grades)
     t[1:] = np.log(np.diff(t))  # thresholds as a first one and log distances, so that they stay in order
     m, v = np.zeros(len(w) + grades), np.zeros(len(w) + grades)
     for step in range(1, steps + 1):
         cuts = np.cumsum(np.concatenate([t[:1], np.exp(t[1:])]))
-        s = x @ w
+        s = x.scores(w)
         over = 1 / (1 + np.exp(-np.clip(s[:, None] - cuts, -30, 30)))
         edge = np.concatenate([np.ones((len(s), 1)), over, np.zeros((len(s), 1))], 1)
         slope = edge * (1 - edge)
@@ -64,7 +80,7 @@ def fit_ordinal(x: np.ndarray, y: np.ndarray, grades: int, ridge: float = 1e-6,
         np.add.at(d_cut, y + 1, -high / len(s))
         d_cut = d_cut[1:-1]
         tail = np.cumsum(d_cut[::-1])[::-1]
-        grad = np.concatenate([x.T @ d_s + ridge * w, tail[:1], tail[1:] * np.exp(t[1:])])
+        grad = np.concatenate([x.sums(d_s) + ridge * w, tail[:1], tail[1:] * np.exp(t[1:])])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, t = w - move[: len(w)], t - move[len(w) :]
@@ -122,13 +138,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 found = [text_features(t.as_py()) for t in part.column("text")]
-                keys = pa.array([k for k, _ in found], pa.list_(pa.int64()))
+                keys = pa.array([np.array(k, np.uint32).view(np.int32) for k, _ in found], pa.list_(pa.int32()))
                 counts = pa.array([np.minimum(n, 127).astype(np.int8).tolist() for _, n in found], pa.list_(pa.int8()))
                 copy = pa.array([crc32(t.as_py().encode()) for t in part.column("text")], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column("toxic"), copy, keys, counts], names=["toxic", "copy", "keys", "counts"])
 
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("toxic", "text").mapInArrow(run, "toxic int, copy long, keys array<long>, counts array<tinyint>")
+    rows = texts.join(F.broadcast(chosen), "id").select("toxic", "text").mapInArrow(run, "toxic int, copy long, keys array<int>, counts array<tinyint>")
     got = rows.toArrow().combine_chunks()
     copy, y = got["copy"].to_numpy(), got["toxic"].to_numpy()
     order = np.lexsort((y, copy))
@@ -142,7 +158,7 @@ def _fit(got: pa.Table, rows: np.ndarray) -> Severity:
     if not y.any() or y.all():
         return nothing
     got = got.take(rows).combine_chunks()
-    keys = got["keys"].combine_chunks().flatten().to_numpy().astype(np.uint32)
+    keys = got["keys"].combine_chunks().flatten().to_numpy().view(np.uint32)
     counts = got["counts"].combine_chunks().flatten().to_numpy()
     doc = np.repeat(np.arange(len(y), dtype=np.int32), got["keys"].combine_chunks().value_lengths().to_numpy())
     kept, n1 = np.unique(keys[y[doc] == 1], return_counts=True)
@@ -161,15 +177,14 @@ def _fit(got: pa.Table, rows: np.ndarray) -> Severity:
         return nothing
     at = np.minimum(np.searchsorted(kept, keys), len(kept) - 1)
     here = kept[at] == keys
-    x = np.zeros((len(y), len(kept)), np.float32)
-    x[doc[here], at[here]] = np.log1p(counts[here])
+    x = Rows(doc[here], at[here], np.log1p(counts[here].astype(float)), (len(y), len(kept)))
     index = {int(k): i for i, k in enumerate(kept)}
     w, _ = fit_ordinal(x, y.astype(np.int64), 1)
-    telling_words = (np.expm1(x) * (w > 0.5 * w.max())).sum(1)
+    telling_words = Rows(x.row, x.col, np.expm1(x.value), x.shape).scores((w > 0.5 * w.max()).astype(float)).round(6)
     cuts = np.quantile(telling_words[y == 1], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, telling_words, "left"), 0)
     w, t = fit_ordinal(x, grade, GRADES)
-    return Severity(index, w, t, best_cut(x @ w - t[0], y))
+    return Severity(index, w, t, best_cut(x.scores(w) - t[0], y))
 
 
 def best_cut(logits: np.ndarray, y: np.ndarray) -> float:

@@ -12,7 +12,7 @@ def test_gradient_by_recovery():
     x = rng.normal(size=(4000, 3))
     s = x @ np.array([1.5, -1.0, 0.0]) + rng.logistic(size=4000)
     y = np.searchsorted([0.0, 1.0, 2.5], s)
-    w, t = toxicity.fit_ordinal(x, y, 3, ridge=0, steps=600)
+    w, t = toxicity.fit_ordinal(toxicity.Rows(*np.nonzero(x), x[np.nonzero(x)], x.shape), y, 3, ridge=0, steps=600)
     assert np.allclose(w, [1.5, -1.0, 0.0], atol=0.15)
     assert np.allclose(t, [0.0, 1.0, 2.5], atol=0.2)
 
