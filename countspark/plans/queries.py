@@ -62,6 +62,14 @@ def totals(cube: DataFrame) -> tuple[int, int]:
     return r[0] or 0, r[1] or 0
 
 
+def from_cube(spark: SparkSession, sf_dir: str, make: Callable[[DataFrame, int, int], DataFrame]) -> DataFrame:
+    """make(cube, positives, others) while the cube is held; for results as small as the domains, which come to the driver."""
+    with held(train_cube(spark, sf_dir)) as cube:
+        found = make(cube, *totals(cube))
+        rows = found.collect()
+    return spark.createDataFrame(rows, found.schema)
+
+
 KEYS = ["l_orderkey", "l_linenumber"]
 
 
@@ -269,9 +277,8 @@ def suppress_midpoint(spark, sf_dir):
 {_R("CASE WHEN q.cnt BETWEEN 1 AND 499 THEN (a.n_pos + a.n_neg) * (b.n_pos + b.n_neg) / (t.p + t.n)::DOUBLE ELSE q.cnt::DOUBLE END")} AS cnt
 FROM pairs q JOIN marg a ON q.fa = a.feature AND q.va = a.value JOIN marg b ON q.fb = b.feature AND q.vb = b.value CROSS JOIN tot t""")
 def suppress_independence(spark, sf_dir):
-    with held(train_cube(spark, sf_dir)) as cube:
-        n = sum(totals(cube))
-    return rounded(suppress.independence_estimates(counts.pairwise(cube, RISK), counts.marginals_of_cube(cube, RISK), n, k=500))
+    estimates = lambda c, p, n: suppress.independence_estimates(counts.pairwise(c, RISK), counts.marginals_of_cube(c, RISK), p + n, k=500)
+    return rounded(from_cube(spark, sf_dir, estimates))
 
 
 @query(f"SELECT min(cnt) AS min_class, count(*) AS n_classes, min(cnt) >= 5 AS release_k5, min(cnt) >= 10 AS release_k10, min(cnt) >= 20 AS release_k20 FROM ({_CELLS})")
@@ -284,9 +291,7 @@ def k_anonymity_min(spark, sf_dir):
 
 @query(f"WITH {RISK_SQL} SELECT feature, value, {_R('lik_pos', 9)} AS lik_pos, {_R('lik_neg', 9)} AS lik_neg FROM lik")
 def nb_params(spark, sf_dir):
-    with held(train_cube(spark, sf_dir)) as cube:
-        p, n = totals(cube)
-    return rounded(naive_bayes.likelihoods(counts.marginals_of_cube(cube, RISK), RISK, p, n), 9)
+    return rounded(from_cube(spark, sf_dir, lambda c, p, n: naive_bayes.likelihoods(counts.marginals_of_cube(c, RISK), RISK, p, n)), 9)
 
 
 def fitted_nb(spark, sf_dir) -> naive_bayes.NaiveBayes:
@@ -388,9 +393,7 @@ def hist_buckets(spark, sf_dir):
 
 @query(f"WITH {_HIST_SQL} SELECT feature, {_R('weight')} AS weight FROM hw")
 def hist_weights(spark, sf_dir):
-    with held(train_cube(spark, sf_dir)) as cube:
-        p, n = totals(cube)
-    return rounded(histogram.weights(histogram.buckets(counts.marginals_of_cube(cube, RISK)), p / (p + n)))
+    return rounded(from_cube(spark, sf_dir, lambda c, p, n: histogram.weights(histogram.buckets(counts.marginals_of_cube(c, RISK)), p / (p + n))))
 
 
 @query(
@@ -423,12 +426,12 @@ def gain_sql(lp: str, ln: str, p: str, n: str) -> str:
 
 @query(f"WITH {RISK_SQL} SELECT feature, value, CAST(col_idx AS INTEGER) AS col_idx, n_pos AS left_pos, n_neg AS left_neg, {_R(gain_sql('n_pos', 'n_neg', 't.p', 't.n'), 9)} AS gain FROM marg CROSS JOIN tot t WHERE n_pos + n_neg > 0 AND n_pos + n_neg < t.p + t.n")
 def tree_root_gains(spark, sf_dir):
-    with held(train_cube(spark, sf_dir)) as cube:
-        p, n = totals(cube)
-    total = spark.createDataFrame([(0, p, n)], "node long, node_pos long, node_neg long")
-    candidates = RISK.domain_table(spark).withColumn("node", F.lit(0).cast("long"))
-    gains = trees.split_gains(counts.level_histogram(cube, RISK), total, candidates)
-    return rounded(gains.select("feature", "value", "col_idx", "left_pos", "left_neg", "gain"), 9)
+    def gains(cube: DataFrame, p: int, n: int) -> DataFrame:
+        total = spark.createDataFrame([(0, p, n)], "node long, node_pos long, node_neg long")
+        candidates = RISK.domain_table(spark).withColumn("node", F.lit(0).cast("long"))
+        return trees.split_gains(counts.level_histogram(cube, RISK), total, candidates)
+
+    return rounded(from_cube(spark, sf_dir, gains).select("feature", "value", "col_idx", "left_pos", "left_neg", "gain"), 9)
 
 
 _ROOT = f"root AS (SELECT feature, value FROM marg CROSS JOIN tot t WHERE n_pos + n_neg > 0 AND n_pos + n_neg < t.p + t.n ORDER BY round({gain_sql('n_pos', 'n_neg', 't.p', 't.n')}, 12) DESC, col_idx LIMIT 1)"
@@ -674,9 +677,7 @@ def chi_square(spark, sf_dir):
 {_R("q.cnt * (t.p + t.n)::DOUBLE / ((a.n_pos + a.n_neg) * (b.n_pos + b.n_neg)::DOUBLE)")} AS lift, q.cnt / (t.p + t.n)::DOUBLE AS s0, q.cnt / (a.n_pos + a.n_neg)::DOUBLE AS c0
 FROM pairs q JOIN marg a ON q.fa = a.feature AND q.va = a.value JOIN marg b ON q.fb = b.feature AND q.vb = b.value CROSS JOIN tot t) WHERE s0 >= 0.01 AND c0 >= 0.1""".replace("SELECT * FROM (SELECT q.fa", "SELECT fa, va, fb, vb, support, confidence, lift FROM (SELECT q.fa"))
 def assoc_rules(spark, sf_dir):
-    with held(train_cube(spark, sf_dir)) as cube:
-        n = sum(totals(cube))
-    return rounded(analysis.association_rules(counts.pairwise(cube, RISK), counts.marginals_of_cube(cube, RISK), n))
+    return rounded(from_cube(spark, sf_dir, lambda c, p, n: analysis.association_rules(counts.pairwise(c, RISK), counts.marginals_of_cube(c, RISK), p + n)))
 
 
 @query(f"""SELECT event_id, event_type, {_R("(value - m) / nullif(d, 0)")} AS z, coalesce(abs((value - m) / nullif(d, 0)) > 3, false) AS outlier
@@ -700,9 +701,12 @@ def principal_components(spark, sf_dir):
 @query()
 def k_modes_clusters(spark, sf_dir):
     start = [{f: vs[i % len(vs)] for f, vs in RISK.domains.items()} for i in range(3)]
-    with held(train_cube(spark, sf_dir)) as cube:
+
+    def sizes(cube: DataFrame, p: int, n: int) -> DataFrame:
         _, cluster = analysis.k_modes(cube, RISK, start)
-    return cube.groupBy(cluster.alias("cluster")).agg(F.sum(F.col("n_pos") + F.col("n_neg")).alias("cnt"))
+        return cube.groupBy(cluster.alias("cluster")).agg(F.sum(F.col("n_pos") + F.col("n_neg")).alias("cnt"))
+
+    return from_cube(spark, sf_dir, sizes)
 
 
 # ---- generators, noise and scaling
