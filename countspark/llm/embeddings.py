@@ -109,21 +109,29 @@ def _pairs(rows: pa.Table, cell: int, own: np.ndarray, across: bool, kind: type,
     links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for q in range(0, len(ids), 256):
         estimate, error = bounds(units[q : q + 256], codes[q:], factors[q:])
-        a, b = np.nonzero(estimate + error >= least)
-        a, b = a + q, b + q
-        keep = a < b
+        likely = estimate + error >= least
+        likely &= np.arange(likely.shape[1]) > np.arange(likely.shape[0])[:, None]
         if across:
-            keep &= own[a] != own[b]
-        a, b = a[keep], b[keep]
+            likely &= own[q : q + 256, None] != own[q:]
+        if likely.mean() > 0.05:  # a dense block costs less as one product than pair by pair
+            likely &= raw[q : q + 256] @ raw[q:].T / (norms[q : q + 256, None] * norms[q:]) >= least
+            a, b = np.nonzero(likely)
+            exact = True
+        else:
+            a, b = np.nonzero(likely)
+            exact = False
+        a, b = a + q, b + q
         for i in range(0, len(a), 1 << 16):
             x, y = a[i : i + (1 << 16)], b[i : i + (1 << 16)]
-            near = np.einsum("ij,ij->i", raw[x], raw[y]) / (norms[x] * norms[y]) >= least
-            x, y = x[near], y[near]
-            shared = (cells[x][:, :, None] == cells[y][:, None, :]).any(2)
-            first = np.where(shared, cells[x], np.iinfo(np.int32).max).min(1) == cell
-            x, y = x[first], y[first]
-            np.add.at(links, x, counts[y])
-            np.add.at(links, y, counts[x])
+            if not exact:
+                near = np.einsum("ij,ij->i", raw[x], raw[y]) / (norms[x] * norms[y]) >= least
+                x, y = x[near], y[near]
+            earlier = np.zeros(len(x), bool)  # both are in a cell before this one, where the pair is counted
+            for k in range(cells.shape[1]):
+                own_cell = cells[x, k]
+                earlier |= (own_cell < cell) & (cells[y] == own_cell[:, None]).any(1)
+            x, y = x[~earlier], y[~earlier]
+            links += np.bincount(x, counts[y], len(ids)).astype(np.int64) + np.bincount(y, counts[x], len(ids)).astype(np.int64)
             label = local_roots(len(ids), x, y, label)
     return links, label
 
@@ -186,7 +194,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, id_col: str = "vec_
     tasks = blocked(materialise(dealt), ["dim", "cell"], "id", block).repartition(*keys).sortWithinPartitions(*keys)
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunked(batches, keys, 1):
+        for chunk in chunked(batches, keys, block):
             marks = np.stack([chunk[k].to_numpy() for k in keys], 1)
             starts = np.concatenate([[0], np.flatnonzero((marks[1:] != marks[:-1]).any(1)) + 1, [len(marks)]])
             for s, e in zip(starts[:-1], starts[1:]):
