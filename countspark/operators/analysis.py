@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from math import exp, lgamma
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +24,49 @@ def chi_square(marginals: DataFrame) -> DataFrame:
     return marginals.filter(n > 0).withColumn("cell", cell).groupBy("feature").agg(F.sum("cell").alias("chi2"), (F.count("*") - 1).alias("dof"))
 
 
+def fisher_exact(a: int, b: int, c: int, d: int) -> float:
+    """The two-sided probability of a 2 x 2 table at least as unlikely as this one, margins given.
+
+    The likelihood has one peak, so both tails are summed outwards from where they begin, until nothing is added.
+    """
+    rows, cols, n = a + b, a + c, a + b + c + d
+    low, high = max(0, rows + cols - n), min(rows, cols)
+    choose = lambda x, k: lgamma(x + 1) - lgamma(k + 1) - lgamma(x - k + 1)
+    log = lambda k: choose(cols, k) + choose(n - cols, rows - k) - choose(n, rows)
+    peak = min(max((rows + 1) * (cols + 1) // (n + 2), low), high)
+    bound = log(a) + 1e-9 * max(1.0, abs(log(a)))
+
+    def tail(end: int, step: int) -> float:
+        inside, outside = peak, end + step  # the likelihood falls from the peak to the end: find where it is small enough
+        while abs(outside - inside) > 1:
+            middle = (inside + outside) // 2
+            inside, outside = (inside, middle) if log(middle) <= bound else (middle, outside)
+        k = inside if log(inside) <= bound else outside
+        total = 0.0
+        while k != end + step:
+            p = exp(log(k))
+            if p <= total * 1e-18:
+                break
+            total, k = total + p, k + step
+        return total
+
+    if log(peak) <= bound:
+        return 1.0
+    return min(1.0, tail(low, -1) + tail(high, 1))
+
+
+def fisher_tests(marginals: DataFrame) -> DataFrame:
+    """(feature, value, p_value): each value against all others of its feature, by class; as many rows as the domains."""
+    rows = marginals.collect()
+    total: dict[str, list[int]] = {}
+    for r in rows:
+        t = total.setdefault(r["feature"], [0, 0])
+        t[0] += r["n_pos"]
+        t[1] += r["n_neg"]
+    out = [(r["feature"], r["value"], fisher_exact(r["n_pos"], r["n_neg"], total[r["feature"]][0] - r["n_pos"], total[r["feature"]][1] - r["n_neg"])) for r in rows]
+    return marginals.sparkSession.createDataFrame(out, "feature string, value string, p_value double")
+
+
 def association_rules(pairs: DataFrame, marginals: DataFrame, n_total: int, least_support: float = 0.01, least_confidence: float = 0.1) -> DataFrame:
     """(fa, va, fb, vb, support, confidence, lift) of "a then b" for the pairs of values that are frequent."""
     one = marginals.select("feature", "value", (F.col("n_pos") + F.col("n_neg")).alias("n"))

@@ -220,10 +220,19 @@ def weighted_histogram(cube: DataFrame, spec: DatasetSpec, score: Column | None
     return weighed.unpivot(keep, spec.features, "feature", "value").groupBy("feature", "value").agg(*[F.sum(c).alias(c) for c in keep])
 
 
-def adaboost(cube: DataFrame, spec: DatasetSpec, n_estimators: int = 10, learning_rate: float = 1.0, k_min: int = 0, threshold: float = 0.5) -> AdaBoost:
+def heaviest_regions(cube: DataFrame, stumps: list[Stump], score: Column, most: int) -> Column:
+    """Whether a row is in one of the regions of largest weight, a region being what all stumps say of a row."""
+    said = F.concat_ws(",", *[F.when(s.sign() > 0, "1").otherwise("0") for s in stumps])
+    weight = F.sum(F.col("n_pos") * F.exp(-score) + F.col("n_neg") * F.exp(score))
+    kept = cube.groupBy(said.alias("region")).agg(weight.alias("w")).orderBy(F.desc(F.round("w", ROUND)), F.desc("region")).limit(most).collect()
+    return said.isin([r["region"] for r in kept])
+
+
+def adaboost(cube: DataFrame, spec: DatasetSpec, n_estimators: int = 10, learning_rate: float = 1.0, k_min: int = 0, threshold: float = 0.5, max_regions: int | None = None) -> AdaBoost:
     """Stumps by boosting. A row's weight follows from the stumps so far, so each round is one grouped sum over the cube.
 
     A candidate is used once, and not if both its sides say the same; it stops where no candidate errs on less than half.
+    max_regions: after each round, later rounds see only that many of the heaviest regions; off unless given.
     """
     model, used, eps = AdaBoost([], threshold), set(), 1e-12
     index = {(f, v): i for f, v, i in spec.candidates()}
@@ -255,4 +264,6 @@ def adaboost(cube: DataFrame, spec: DatasetSpec, n_estimators: int = 10, learnin
         used.add(key)
         if error <= eps:
             break
+        if max_regions is not None:
+            cube = cube.filter(heaviest_regions(cube, model.stumps, model.score(), max_regions))
     return model

@@ -673,6 +673,11 @@ def chi_square(spark, sf_dir):
     return rounded(analysis.chi_square(train_marginals(spark, sf_dir)), 4)
 
 
+@query()
+def fisher_tests(spark, sf_dir):
+    return rounded(analysis.fisher_tests(train_marginals(spark, sf_dir)))
+
+
 @query(f"""WITH {RISK_SQL}, pairs AS ({_PAIRS}) SELECT * FROM (SELECT q.fa, q.va, q.fb, q.vb, {_R("q.cnt / (t.p + t.n)::DOUBLE")} AS support, {_R("q.cnt / (a.n_pos + a.n_neg)::DOUBLE")} AS confidence,
 {_R("q.cnt * (t.p + t.n)::DOUBLE / ((a.n_pos + a.n_neg) * (b.n_pos + b.n_neg)::DOUBLE)")} AS lift, q.cnt / (t.p + t.n)::DOUBLE AS s0, q.cnt / (a.n_pos + a.n_neg)::DOUBLE AS c0
 FROM pairs q JOIN marg a ON q.fa = a.feature AND q.va = a.value JOIN marg b ON q.fb = b.feature AND q.vb = b.value CROSS JOIN tot t) WHERE s0 >= 0.01 AND c0 >= 0.1""".replace("SELECT * FROM (SELECT q.fa", "SELECT fa, va, fb, vb, support, confidence, lift FROM (SELECT q.fa"))

@@ -289,6 +289,22 @@ def test_analyses(df, rows):
     assert metrics.confusion(boosted, boosted.pred).first().acc >= max(totals(rows)) / len(rows)
 
 
+def test_region_pruning(df):
+    cube = counts.cube(df, SPEC).persist()
+    every = trees.adaboost(cube, SPEC, n_estimators=4)
+    assert trees.adaboost(cube, SPEC, n_estimators=4, max_regions=1000).stumps == every.stumps
+    few = trees.adaboost(cube, SPEC, n_estimators=4, max_regions=2)
+    assert few.stumps[:1] == every.stumps[:1] and len(few.stumps) >= 1
+
+
+@pytest.mark.parametrize("table", [(3, 1, 1, 3), (10, 0, 2, 9), (0, 5, 5, 0), (7, 7, 7, 7), (0, 0, 3, 4), (1, 30, 4, 25), (200, 90, 150, 260)])
+def test_fisher(table):
+    a, b, c, d = table
+    rows, cols, n = a + b, a + c, a + b + c + d
+    p = {k: math.comb(cols, k) * math.comb(n - cols, rows - k) / math.comb(n, rows) for k in range(max(0, rows + cols - n), min(rows, cols) + 1)}
+    assert analysis.fisher_exact(*table) == pytest.approx(min(1, sum(x for x in p.values() if x <= p[a] * (1 + 1e-9))), rel=1e-6)
+
+
 def test_empty_cube(spark):
     empty = spark.createDataFrame([], "color string, shape string, size string, score double, y int")
     cube = counts.cube(empty, SPEC)
