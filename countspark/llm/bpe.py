@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 from countspark.llm.common import ship
 from countspark.llm.split import byte_bpe_pieces
 
-CACHE = 700_000  # pieces whose ids a worker keeps
-PAIRS = 500_000  # pairs of neighbours whose validity a worker keeps
+CACHE = 550_000  # pieces whose ids a worker keeps
+PAIRS = 400_000  # pairs of neighbours whose validity a worker keeps
 
 
 class PrefixBpe:
