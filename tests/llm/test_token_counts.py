@@ -6,10 +6,10 @@ from countspark.llm import queries, token_counts
 
 
 def greedy(word, starts, insides):
-    n, at = 0, 0
+    n, at, longest = 0, 0, max(map(len, starts | insides), default=0)
     while at < len(word):
         vocabulary = insides if at else starts
-        end = next((e for e in range(len(word), at, -1) if word[at:e] in vocabulary), None)
+        end = next((e for e in range(min(len(word), at + longest), at, -1) if word[at:e] in vocabulary), None)
         if end is None:
             return None
         n, at = n + 1, end
