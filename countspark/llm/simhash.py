@@ -9,7 +9,7 @@ split into blocks, of which every pair is a task of its own, so no link is lost
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -207,12 +207,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
     """The rows of docs, all columns, of which each group of near-duplicates leaves its smallest id; rows without an id stay.
 
-    Where several rows bear that id, one of them stays.
+    Where several rows bear that id, one of them stays. find: gives each row's component_id.
     """
-    found = near_duplicates(docs, id_col, text_col, **how)
+    found = find(docs, id_col, text_col, **how)
     leaders = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows"))
     alone, repeated = leaders.filter("_rows = 1").select(id_col), leaders.filter("_rows > 1").select(id_col)
     kept = docs.join(alone, id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
