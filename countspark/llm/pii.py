@@ -24,7 +24,7 @@ from countspark.llm.common import ship
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000  # documents that a fit reads: those with a digit or an at sign, in the order of a hash of their ids
 BELIEF = 0.9  # that a token has a label, for a span to be added
-ROUNDS, DAMPING = 20, 0.3
+ROUNDS, DAMPING = 20, 0.3  # rounds of messages: so many, and two for each node of the largest document, at most
 
 # The shapes of the base spans.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -166,7 +166,7 @@ class Field:
         src, dst, pair = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([forth, forth.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(a), 2 * len(a)), np.arange(len(a))])
         sent = np.zeros((len(src), LABELS))
-        for _ in range(ROUNDS if len(src) else 0):
+        for _ in range(ROUNDS + 2 * int(np.unique(nodes.doc, return_counts=True)[1].max()) if len(src) else 0):
             total = own.copy()
             np.add.at(total, dst, sent)
             new = _log_sum(((total[src] - sent[back])[:, :, None] + pair).transpose(0, 2, 1))
