@@ -25,7 +25,6 @@ from countspark.llm.simhash import chunked, local_roots
 SAMPLES = 128  # of one byte each
 PERIOD, CLASSES = 4096, 64  # the random bits repeat after so many steps; characters share them by so many classes
 SEED = 20
-BANDS, PER_BAND = 16, 8
 
 
 class _Moves(dict):
@@ -97,12 +96,14 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
     """(id, fingerprint hex, component_id): components of texts whose fingerprints agree in a share of `least` at least.
 
-    Pairs are candidates if they agree in all samples of a band: of pairs alike at 0.8, over 94 in 100 do, and alike at 0.9,
-    all but one in 10,000; chains of copies are found by any of their links. A row without an id gets its fingerprint's component.
+    Pairs are candidates if they agree in all samples of a band. There is one band more than samples in which a pair may
+    differ, so no pair is lost. A row without an id gets its fingerprint's component.
     """
     by_doc = materialise(fingerprints(docs, id_col, text_col))
     alike = materialise(by_doc.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")))
-    band = F.posexplode(F.array(*[F.xxhash64(F.substring("fingerprint", 1 + k * PER_BAND, PER_BAND)) for k in range(BANDS)])).alias("band", "key")
+    n = int(SAMPLES * (1 - least) + 1e-6) + 1
+    bounds = [SAMPLES * k // n for k in range(n + 1)]
+    band = F.posexplode(F.array(*[F.xxhash64(F.substring("fingerprint", 1 + s, e - s)) for s, e in zip(bounds, bounds[1:])])).alias("band", "key")
     dealt = alike.filter("first_id is not null").select("fingerprint", "first_id", band)
     keys = ["band", "key", "i", "j"]
 
