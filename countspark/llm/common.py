@@ -6,9 +6,11 @@ import atexit
 import os
 import tempfile
 import uuid
+import warnings
 import zipfile
 from pathlib import Path
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,8 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir. Only a local master may leave it unset (tests): executors share no local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return (root or f"file://{tempfile.gettempdir()}/countspark-scratch").rstrip("/") + "/countspark"
 
 
@@ -43,12 +47,13 @@ def drop(*dfs: DataFrame) -> None:
 
 
 def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None:  # stopped: the folder belongs to the cluster's housekeeping then
+        return
     try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # the session is gone at exit; the folder belongs to the cluster's housekeeping then
-        pass
+    except (Py4JError, OSError) as e:
+        warnings.warn(f"{path} could not be deleted: {e}", stacklevel=2)
 
 
 def ship(spark: SparkSession) -> None:

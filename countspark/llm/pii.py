@@ -3,16 +3,18 @@
 The patterns give the base spans. The field then labels the tokens that hold a digit or an at sign (every other token is
 observed to be no personal data): each has potentials from its shape and its neighbours, and tokens of one
 document that are equal, or have the same digits, share a skip edge, so that a form that the patterns miss takes the label of its
-like elsewhere. Sum-product messages pass over chain and skip edges until they settle, and tokens whose
-belief in a label reaches a bound add spans where no base span is. Of k like tokens each is linked to the next one, so
-there are fewer skip edges than tokens.
+like elsewhere. Sum-product messages pass over chain and skip edges until those of the document have settled, and tokens whose
+belief in a label reaches a bound add spans where no base span is. Of k like tokens each is linked to the first one, so
+there are fewer skip edges than tokens and any two likes are two steps apart. A document's result doesn't depend on others.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +24,11 @@ from pyspark.sql import functions as F
 from countspark.llm.common import ship
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE = 4000  # documents that a fit reads: those with a digit or an at sign, in the order of a hash of their ids
+SAMPLE = 4000  # different texts that a fit reads: those with a digit or an at sign, in the order of a hash of the text
 BELIEF = 0.9  # that a token has a label, for a span to be added
-ROUNDS, DAMPING = 20, 0.3  # rounds of messages: so many, and two for each node of the largest document, at most
+AGREEMENT = 2.0  # what is expected, before any data, of the logarithm by which like tokens prefer equal labels
+DAMPING, SETTLED, ROUNDS = 0.3, 1e-4, 500  # a document's messages have settled when none moves further; loops that never do end after so many rounds
+_EDGES = 1 << 15  # edges whose messages are computed together
 
 # The shapes of the base spans.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -59,7 +63,7 @@ def base_spans(text: str) -> list[Span]:
     if not _DIGIT.search(text):
         return found
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in m[0].split("."))):
             found.append((1, m.start(), m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -130,9 +134,8 @@ def nodes_of(texts: list[str]) -> Nodes:
             shape.append(_shape(text[s:e], joined))
             if near:
                 chain.append((i - 1, i))
-            if (like := seen.get(key := _key(text[s:e]))) is not None:
-                skip.append((like, i))
-            seen[key] = i
+            if (first := seen.setdefault(_key(text[s:e]), i)) != i:
+                skip.append((first, i))
     pairs = lambda x: np.array(x, np.int64).reshape(-1, 2)
     return Nodes(np.array(doc, np.int64), np.array(start, np.int64), np.array(end, np.int64), np.array(shape, bool).reshape(-1, FEATURES), pairs(chain), pairs(skip))
 
@@ -140,12 +143,15 @@ def nodes_of(texts: list[str]) -> Nodes:
 def labels_of(nodes: Nodes, spans: list[list[Span]]) -> np.ndarray:
     """The kind of the base span that covers the larger part of a node, or none."""
     out = np.full(len(nodes.doc), LABELS - 1)
-    first = np.searchsorted(nodes.doc, np.arange(len(spans) + 1))
+    first = np.searchsorted(nodes.doc, np.arange(len(spans) + 1)).tolist()
+    start, end = nodes.start.tolist(), nodes.end.tolist()
     for d, found in enumerate(spans):
         for kind, s, e in reversed(found):
-            for i in range(first[d], first[d + 1]):
-                if 2 * (min(e, nodes.end[i]) - max(s, nodes.start[i])) > nodes.end[i] - nodes.start[i]:
+            i = bisect_right(end, s, first[d], first[d + 1])
+            while i < first[d + 1] and start[i] < e:
+                if 2 * (min(e, end[i]) - max(s, start[i])) > end[i] - start[i]:
                     out[i] = kind
+                i += 1
     return out
 
 
@@ -158,76 +164,104 @@ class Field:
     skip: np.ndarray
 
     def beliefs(self, nodes: Nodes) -> np.ndarray:
-        """The labels' probabilities of each node, by loopy sum-product."""
-        own = nodes.shape.astype(float) @ self.shape
-        a = np.concatenate([nodes.chain[:, 0], nodes.skip[:, 0]])
-        b = np.concatenate([nodes.chain[:, 1], nodes.skip[:, 1]])
-        forth = np.concatenate([np.broadcast_to(self.chain, (len(nodes.chain), LABELS, LABELS)), np.broadcast_to(self.skip, (len(nodes.skip), LABELS, LABELS))])
-        src, dst, pair = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([forth, forth.transpose(0, 2, 1)])
-        back = np.concatenate([np.arange(len(a), 2 * len(a)), np.arange(len(a))])
-        sent = np.zeros((len(src), LABELS))
-        for _ in range(ROUNDS + 2 * int(np.unique(nodes.doc, return_counts=True)[1].max()) if len(src) else 0):
-            total = own.copy()
-            np.add.at(total, dst, sent)
-            new = _log_sum(((total[src] - sent[back])[:, :, None] + pair).transpose(0, 2, 1))
-            new -= _log_sum(new)[:, None]
-            change = np.abs(new - sent).max()
-            sent = DAMPING * sent + (1 - DAMPING) * new
-            if change < 1e-4:
-                break
-        total = own.copy()
-        np.add.at(total, dst, sent)
+        """The labels' probabilities of each node, by loopy sum-product. Each document stops when its own messages have settled."""
+        own = np.zeros((len(nodes.doc), LABELS))
+        for has, weights in zip(nodes.shape.T, self.shape):  # a matrix product's rounding would depend on the other rows
+            own[has] += weights
+        edges = np.concatenate([nodes.chain, nodes.skip])
+        pairs = np.stack([self.chain, self.skip])
+        kind = np.repeat([0, 1], [len(nodes.chain), len(nodes.skip)])
+        doc, sent, live, turn = nodes.doc[edges[:, 0]], np.zeros((2, len(edges), LABELS)), np.arange(len(edges)), 0
+        while len(live):
+            total, step = own + _incoming(edges, sent, len(own)), (1 - DAMPING) * 0.5 ** max(0, turn - ROUNDS) ** 0.5
+            moved = np.zeros(nodes.doc[-1] + 1, bool)
+            for i in range(0, len(live), _EDGES):
+                e = live[i : i + _EDGES]
+                both = pairs[kind[e]]
+                forth = _log_sum((total[edges[e, 0]] - sent[1, e])[:, None, :] + both.transpose(0, 2, 1))
+                back = _log_sum((total[edges[e, 1]] - sent[0, e])[:, None, :] + both)
+                new = np.stack([forth - _log_sum(forth)[:, None], back - _log_sum(back)[:, None]])
+                move = step * (new - sent[:, e])
+                sent[:, e] += move
+                moved[doc[e][np.abs(move).max((0, 2)) >= SETTLED]] = True
+            live, turn = live[moved[doc[live]]], turn + 1
+        total = own + _incoming(edges, sent, len(own))
         return np.exp(total - _log_sum(total)[:, None])
 
 
+def _incoming(edges: np.ndarray, sent: np.ndarray, n: int) -> np.ndarray:
+    """The sum of the messages that each of n nodes gets: sent[0] goes to the edges' second nodes, sent[1] to the first ones."""
+    return np.stack([np.bincount(edges[:, 1], sent[0, :, k], n) + np.bincount(edges[:, 0], sent[1, :, k], n) for k in range(LABELS)], 1)
+
+
 def _log_sum(x: np.ndarray) -> np.ndarray:
     top = x.max(-1)
     return top + np.log(np.exp(x - top[..., None]).sum(-1))
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
-    """Fit the field by pseudo-likelihood on the base labels of at most `sample` documents.
+def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, agreement: float = AGREEMENT) -> Field:
+    """Fit the field by pseudo-likelihood on the base labels of at most `sample` different texts.
 
     The executors count equal situations of a node (shape, label, labels of its neighbours and likes), and only these counts
-    reach the driver. Without any candidate token the potentials are zero.
+    reach the driver. Without any candidate token the potentials are zero. agreement is a prior on the skip potentials,
+    like the zeros of all others: the fit pulls them there as weakly, so it decides where the texts hold too few like tokens to teach it.
     """
     ship(docs.sparkSession)
-    marked = docs.filter(F.col(text_col).rlike("[0-9@]") & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    chosen = marked.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample)
+    marked = docs.filter(F.col(text_col).rlike("[0-9@]")).select(F.xxhash64(text_col).alias("hash"), F.col(text_col).alias("text"))
+    chosen = marked.select("hash").distinct().orderBy("hash").limit(sample)
+    texts = marked.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.first("text").alias("text")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             nodes = nodes_of(texts)
             y = labels_of(nodes, [base_spans(t) for t in texts])
-            near = np.zeros((len(y), 2 * 2 * LABELS), np.int8)  # neighbours before and after, likes before and after
-            for block, pairs in ((0, nodes.chain), (2, nodes.skip)):
-                near[pairs[:, 1], block * LABELS + y[pairs[:, 0]]] += 1
-                near[pairs[:, 0], (block + 1) * LABELS + y[pairs[:, 1]]] += 1
-            rows = np.concatenate([nodes.shape.astype(np.uint8), near.view(np.uint8), y[:, None].astype(np.uint8)], 1)
+            near = np.zeros((len(y), 3, LABELS), "<i4")  # labels of the neighbours before and after, and of the likes
+            for at, to, by in ((0, 1, 0), (1, 0, 1)):
+                np.add.at(near, (nodes.chain[:, to], at, y[nodes.chain[:, by]]), 1)
+                np.add.at(near, (nodes.skip[:, to], 2, y[nodes.skip[:, by]]), 1)
+            rows = np.concatenate([nodes.shape.astype(np.uint8), y[:, None].astype(np.uint8), near.reshape(len(y), -1).view(np.uint8)], 1)
             yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in rows], pa.binary())], names=["situation"])
 
-    counted = marked.join(F.broadcast(chosen), "id").select("text").mapInArrow(run, "situation binary").groupBy("situation").count().toArrow()
-    shape, chain, skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), np.zeros((LABELS, LABELS))
+    counted = texts.mapInArrow(run, "situation binary").groupBy("situation").count().toArrow()
+    prior = agreement * np.eye(LABELS)
+    shape, chain, skip = np.zeros((FEATURES, LABELS)), np.zeros((LABELS, LABELS)), prior.copy()
     if not counted.num_rows:
-        return Field(shape, chain, skip)
+        return Field(shape, chain, np.zeros_like(skip))
     rows = np.frombuffer(b"".join(counted["situation"].to_pylist()), np.uint8).reshape(counted.num_rows, -1)
     n = counted["count"].to_numpy().astype(float)
-    x, near, y = rows[:, :FEATURES].astype(float), rows[:, FEATURES:-1].astype(float), rows[:, -1].astype(int)
-    before, after, like = near[:, :LABELS], near[:, LABELS : 2 * LABELS], near[:, 2 * LABELS : 3 * LABELS] + near[:, 3 * LABELS :]
+    x, y = rows[:, :FEATURES].astype(float), rows[:, FEATURES].astype(int)
+    near = np.ascontiguousarray(rows[:, FEATURES + 1 :]).view("<i4").astype(float)
+    before, after, like = near[:, :LABELS], near[:, LABELS : 2 * LABELS], near[:, 2 * LABELS :]
     target = np.eye(LABELS)[y]
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (shape, chain, skip)]
     for step in range(1, 301):
         z = x @ shape + before @ chain + after @ chain.T + like @ skip
         d = (np.exp(z - _log_sum(z)[:, None]) - target) * (n / n.sum())[:, None]
         g_skip = like.T @ d
-        grads = (x.T @ d + 1e-4 * shape, before.T @ d + (after.T @ d).T + 1e-4 * chain, (g_skip + g_skip.T) / 2 + 1e-4 * skip)
+        grads = (x.T @ d + 1e-4 * shape, before.T @ d + (after.T @ d).T + 1e-4 * chain, (g_skip + g_skip.T) / 2 + 1e-4 * (skip - prior))
         for p, g, m in zip((shape, chain, skip), grads, moments):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             p -= 0.1 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-8)
-    # Equal tokens of one document agree: the coupling that the method stands on, where the sample holds too few of them to teach it.
-    return Field(shape, chain, skip + 2.0 * np.eye(LABELS))
+    return Field(shape, chain, skip)
+
+
+class _Taken:
+    """The places that a text's base spans take."""
+
+    def __init__(self, found: list[Span]):
+        places = sorted((s, e) for _, s, e in found)
+        self.starts, self.ends = [s for s, _ in places], list(accumulate((e for _, e in places), max))
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+    def begins(self, start: int, end: int) -> bool:
+        """Whether one begins from start on, before end."""
+        k = bisect_left(self.starts, start)
+        return k < len(self.starts) and self.starts[k] < end
 
 
 def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
@@ -240,13 +274,13 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
         kind = belief[:, :-1].argmax(1)
         sure = belief[np.arange(len(kind)), kind] >= BELIEF
         neighbour = set(nodes.chain[:, 1].tolist())
-        covered = {d: sorted((s, e) for _, s, e in base[d]) for d in set(nodes.doc[sure].tolist())}
+        taken = {d: _Taken(base[d]) for d in set(nodes.doc[sure].tolist())}
         last = -2
         for i in np.flatnonzero(sure).tolist():
             d, s, e = int(nodes.doc[i]), int(nodes.start[i]), int(nodes.end[i])
-            if any(s < y and x < e for x, y in covered[d]):
+            if taken[d].meets(s, e):
                 continue
-            if last == i - 1 and i in neighbour and kind[i] == kind[last] and added[d] and not any(added[d][-1][2] <= x < s for x, _ in covered[d]):
+            if last == i - 1 and i in neighbour and kind[i] == kind[last] and added[d] and not taken[d].begins(added[d][-1][2], s):
                 added[d][-1] = (int(kind[i]), added[d][-1][1], e)
             else:
                 added[d].append((int(kind[i]), s, e))

@@ -1,5 +1,8 @@
+import itertools
 import re
+import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -49,7 +52,7 @@ def test_base_spans(text):
 
 
 def test_long_runs_are_linear():
-    for text in ("a" * 300_000, "a" * 300_000 + "@", "9" * 200_000, "1." * 100_000, "+" * 100_000, "+1" + " " * 200_000, "a@" * 50_000):
+    for text in ("a" * 300_000, "a" * 300_000 + "@", "9" * 200_000, "1." * 100_000, "+" * 100_000, "+1" + " " * 200_000, "a@" * 50_000, "0" * 100_000 + ".1.2.3", "1.2." + "0" * 100_000 + "7.9"):
         pii.base_spans(text)
 
 
@@ -58,20 +61,68 @@ def field(spark):
     return pii.fit(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
 
 
-def test_messages_are_exact_on_chains(field):
-    text = "x 12 34.5.6.7 99 y"
-    nodes = pii.nodes_of([text])
-    import itertools
-
-    import numpy as np
-
+def enumerated(nodes, field):
+    """The labels' probabilities, by summing over all labellings."""
     own = nodes.shape.astype(float) @ field.shape
     total = np.zeros(own.shape)
     for ys in itertools.product(range(pii.LABELS), repeat=len(own)):
-        p = np.exp(sum(own[i, y] for i, y in enumerate(ys)) + sum(field.chain[ys[a], ys[b]] for a, b in nodes.chain))
+        p = sum(own[i, y] for i, y in enumerate(ys))
+        p += sum(field.chain[ys[a], ys[b]] for a, b in nodes.chain) + sum(field.skip[ys[a], ys[b]] for a, b in nodes.skip)
         for i, y in enumerate(ys):
-            total[i, y] += p
-    assert np.allclose(field.beliefs(nodes), total / total.sum(1, keepdims=True), atol=1e-3)
+            total[i, y] += np.exp(p)
+    return total / total.sum(1, keepdims=True)
+
+
+# No loops, so messages are exact: chains, stars of likes, and both.
+TREES = [
+    "x 12 34.5.6.7 99 y",
+    "+1 (269) 555-3296 x 17 x 2695553296 x 12695553296",
+    "+12695553296 x 12695553296 or 1-269-555-3296 or 1.269.555.3296",
+    "a.b@c.de x A.B@C.DE x a.b@c x 4111111111111111 x 4111-1111-1111-1111",
+]
+
+
+@pytest.mark.parametrize("text", TREES)
+def test_messages_and_added_spans_against_enumeration(field, text):
+    nodes = pii.nodes_of([text])
+    want = enumerated(nodes, field)
+    assert np.allclose(field.beliefs(nodes), want, atol=2e-3)
+    base, every = pii.find([text], field)[0]
+    free = [i for i in range(len(want)) if not any(s < nodes.end[i] and nodes.start[i] < e for _, s, e in base)]
+    sure = {c for i in free if want[i, :-1].max() >= pii.BELIEF for c in range(nodes.start[i], nodes.end[i])}
+    added = {c for x in every if x not in base for c in range(x[1], x[2])}
+    assert sure <= added and not [c for c in added - sure if text[c] != " "]
+
+
+def test_loops_come_close(field):
+    text = "+12695553296 17 x 12695553296 17 x 1-269-555-3296 17"
+    nodes = pii.nodes_of([text])
+    assert len(nodes.chain) and len(nodes.skip) > len(nodes.chain)
+    got, want = field.beliefs(nodes), enumerated(nodes, field)
+    assert (got.argmax(1) == want.argmax(1)).all()
+
+
+def test_a_text_does_not_depend_on_its_batch():
+    rng = np.random.default_rng(1)
+    field = pii.Field(rng.normal(size=(pii.FEATURES, pii.LABELS)), rng.normal(size=(pii.LABELS,) * 2), rng.normal(size=(pii.LABELS,) * 2))
+    texts = [" ".join(rng.choice(["12", "345678", "3.4.5.6", "a@b.c", "+1", "345-678", "word"], 30)) for _ in range(60)]
+    whole = field.beliefs(pii.nodes_of(texts))
+    apart = np.concatenate([field.beliefs(pii.nodes_of([t])) for t in texts])
+    assert np.array_equal(whole, apart)
+
+
+def test_many_spans_in_one_text(field):
+    text = " ".join(f"{i % 251}.{i % 83}.7.{i % 97}" for i in range(100_000))
+    start = time.time()
+    base, every = pii.find([text], field)[0]
+    assert len(base) == 100_000 and set(base) <= set(every)
+    assert time.time() - start < 120
+
+
+def test_fit_is_bounded_by_texts(spark):
+    rows = [(1, "call +1 (269) 555-3296 now")] * 500 + [(1, f"call {i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert np.isfinite(pii.fit(df, sample=20).shape).all()
 
 
 def test_skip_edges_carry_labels(field):
