@@ -8,7 +8,7 @@ with the link. A word's length is the sum of the numbers on the links that it ta
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -23,9 +23,9 @@ _START, _INSIDE = 0, 1  # the roots for the beginning of a word and for what fol
 
 
 class PieceCounter:
-    """Counts pieces of words. starts: the pieces that begin a word; insides: those that continue one."""
+    """Counts pieces of words. starts: the pieces that begin a word, "" being a bare word mark; insides: those that continue one."""
 
-    def __init__(self, starts: Iterable[str], insides: Iterable[str]):
+    def __init__(self, starts: Collection[str], insides: Collection[str]):
         self.child: dict[tuple[int, str], int] = {}
         ends: set[int] = set()
         below: list[list[tuple[str, int]]] = [[], []]
@@ -42,6 +42,8 @@ class PieceCounter:
                     ends.add(node)
         self.link: list[int | None] = [None] * len(below)
         self.popped = [0] * len(below)
+        if "" in starts:  # a word that no longer piece begins starts with the bare mark
+            self.link[_START], self.popped[_START] = _INSIDE, 1
         queue = deque([_START, _INSIDE])
         while queue:
             node = queue.popleft()
@@ -75,12 +77,12 @@ class PieceCounter:
 
 @lru_cache(maxsize=2)
 def load(path: str) -> PieceCounter:
-    """From a sentencepiece model: pieces with the word mark begin a word, others continue one; control pieces are left out."""
+    """From a sentencepiece model: a word is the word mark and its characters, and any piece may continue it; control and byte pieces are left out."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = [model.id_to_piece(i) for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i))]
-    return PieceCounter((p[1:] for p in pieces if p[0] == "▁"), (p for p in pieces if "▁" not in p))
+    return PieceCounter({p[1:] for p in pieces if p[0] == "▁"}, pieces)
 
 
 class _Lengths(dict):
@@ -105,6 +107,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     """(id, n_words, n_unknown, n_tokens) for every row: words are what white space parts.
 
     A word that the vocabulary can't spell counts as one unknown token, whatever its length. A null text counts as empty: 0, 0, 0.
+    Repeated rows are counted each, very long texts and words in time linear in them. Other columns are not read.
     """
     ship(docs.sparkSession)
 
