@@ -1,30 +1,41 @@
 """Sharding by fixed virtual slots, in DataFrame functions only.
 
-Records are hashed by id into a fixed number of slots. The bytes of each slot are added up, and a slot-to-shard map places
+Records are hashed by id and text checksum into a fixed number of slots, and the copies of a record go to slots in turn. The bytes of each slot are added up, and a slot-to-shard map places
 whole slots: largest first, each on the shard with the least bytes so far. The map is a small versioned table; growing or
 rebalancing writes a new version that moves some slots and leaves all others where they are.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from countspark.llm.common import materialise
 
 SLOTS = 4096
+RUN = 1 << 16  # copies that are written out from one row
 
 
 def records(docs: DataFrame, slots: int = SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, size, text_crc32, virtual_slot) for every row; size: the text's UTF-8 bytes, none for null, plus one.
 
-    A row without an id is hashed by its text's checksum, so that such rows don't meet in one slot.
+    The checksum is hashed too, so that rows with one id, or none, don't meet in one slot.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     crc = F.crc32(text.cast("binary"))
     named = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), crc.alias("text_crc32"))
-    key = F.xxhash64("id", F.when(F.col("id").isNull(), F.col("text_crc32")))
-    return named.withColumn("virtual_slot", F.pmod(key, F.lit(slots)).cast("int"))
+    return named.withColumn("virtual_slot", F.pmod(F.xxhash64("id", "text_crc32"), F.lit(slots)).cast("int"))
+
+
+def spread(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """(id, size, text_crc32, virtual_slot, run, copies): equal rows counted, their copies dealt to the slots in turn from
+    their own one on, and those of a slot cut into runs."""
+    alike = rows.groupBy("id", "size", "text_crc32", "virtual_slot").agg(F.count("*").alias("_all"))
+    turns = F.sequence(F.lit(0).cast("long"), F.least(F.col("_all"), F.lit(slots)) - 1)
+    dealt = alike.withColumn("_turn", F.explode(turns)).withColumn("virtual_slot", F.pmod(F.col("virtual_slot") + F.col("_turn"), F.lit(slots)).cast("int"))
+    here = F.floor(F.col("_all") / slots) + F.when(F.col("_turn") < F.col("_all") % slots, 1).otherwise(0)
+    runs = dealt.withColumn("_here", here).withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_here") - 1) / RUN))))
+    return runs.select("id", "size", "text_crc32", "virtual_slot", "run", F.least(F.lit(RUN), F.col("_here") - F.col("run") * RUN).alias("copies"))
 
 
 def slot_sizes(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -90,19 +101,32 @@ def shard(docs: DataFrame, shards: int = 16, slots: int = SLOTS, id_col: str = "
     """The rows' places, and the map that gave them.
 
     Places: (id, size, text_crc32, virtual_slot, shard, slot) for every row; slot is the place in the shard, gapless from 0, in
-    the order of virtual slot, id and checksum. Rows that are equal in all of these are counted, not sorted, and
-    share out the places that they hold together. An empty table gives empty places and a map of empty slots.
+    the order of virtual slot, id and checksum. Rows that are equal in all of these are counted, not sorted; their copies are
+    spread over the slots in turn and share out the places that they hold together. An empty table gives empty places and a map of empty slots.
     """
-    rows = records(docs, slots, id_col, text_col)
-    alike = materialise(rows.groupBy("id", "size", "text_crc32", "virtual_slot").agg(F.count("*").alias("copies")))
+    alike = materialise(spread(records(docs, slots, id_col, text_col), slots))
     sizes = slot_sizes(alike.select("virtual_slot", (F.col("size") * F.col("copies")).alias("size")), slots).drop("rows")
     counts = alike.groupBy("virtual_slot").agg(F.sum("copies").alias("rows"))
     sizes = sizes.join(counts, "virtual_slot", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
     slot_map = materialise(first_map(sizes, shards))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     base = slot_map.select("virtual_slot", "shard", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("base"))
-    upto = Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy("virtual_slot").orderBy("id", "text_crc32", "size", "run").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     last = F.sum("copies").over(upto)
     placed = alike.withColumn("last", last).join(F.broadcast(base), "virtual_slot")
     place = F.explode(F.sequence(F.col("base") + F.col("last") - F.col("copies"), F.col("base") + F.col("last") - 1)).alias("slot")
     return placed.select(F.col("id").alias(id_col), "size", "text_crc32", "virtual_slot", "shard", place), slot_map
+
+
+def write_map(slot_map: DataFrame, path: str) -> None:
+    """Store a map under its version in a folder of maps; a version that is there already is an error, and earlier ones stay."""
+    for row in slot_map.select("version").distinct().collect():  # one row: a map has one version
+        slot_map.drop("version").coalesce(1).write.mode("error").parquet(f"{path}/version={row['version']}")
+
+
+def read_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The stored map of a version, by default the last one."""
+    maps = spark.read.parquet(path)
+    if version is None:
+        version = maps.agg(F.max("version")).first()[0]
+    return maps.filter(F.col("version") == version).select("version", "virtual_slot", "shard", "bytes", "rows")

@@ -54,3 +54,37 @@ def test_rebalance(spark):
 def test_empty(spark):
     places, first = sharding.shard(spark.createDataFrame([], "doc_id long, text string"))
     assert places.count() == 0 and first.count() == sharding.SLOTS
+
+
+def test_one_id_and_equal_rows_are_spread(spark):
+    rows = [(7, "x" * (i % 50)) for i in range(1600)] + [(8, "same")] * 3000 + [(None, None)] * 3000
+    for part, most in ((rows[:1600], 1.5), (rows[1600:], 1.01), (rows, 1.1)):
+        places, _ = sharding.shard(spark.createDataFrame(part, "doc_id long, text string"), 16)
+        got = places.collect()
+        assert len(got) == len(part)
+        slots, load = defaultdict(list), Counter()
+        for r in got:
+            slots[r.shard].append(r.slot)
+            load[r.shard] += r["size"]
+        assert all(sorted(p) == list(range(len(p))) for p in slots.values())
+        assert len(load) == 16 and max(load.values()) <= most * sum(load.values()) / 16
+
+
+def test_runs_of_copies(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "RUN", 7)
+    got = sharding.shard(spark.createDataFrame([(1, "a")] * 500 + [(2, "b")], "doc_id long, text string"), 2, slots=4)[0].collect()
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert len(got) == 501 and all(sorted(p) == list(range(len(p))) for p in slots.values())
+
+
+def test_stored_versions(spark, tmp_path):
+    docs = spark.range(500).select(F.col("id").alias("doc_id"), F.lit("x").alias("text"))
+    _, first = sharding.shard(docs, 4, slots=64)
+    path = f"{tmp_path}/maps"
+    sharding.write_map(first, path)
+    sharding.write_map(sharding.grow(sharding.read_map(spark, path), 4), path)
+    order = ["version", "virtual_slot"]
+    assert sharding.read_map(spark, path, 1).orderBy(order).collect() == first.orderBy(order).collect()
+    assert sharding.read_map(spark, path).orderBy(order).collect() == sharding.grow(first, 4).orderBy(order).collect()
