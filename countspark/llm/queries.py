@@ -53,17 +53,23 @@ WITH RECURSIVE said AS (
 ), passages AS (
   SELECT *, sum(opens) OVER (PARTITION BY part ORDER BY pos) AS passage FROM opened
 ), whole AS (
-  SELECT conv_id, turn, level, string_agg(line, ' ' ORDER BY pos) AS line, count(*) + 1 AS weight
+  SELECT conv_id, turn, level, string_agg(line, chr(10) ORDER BY pos) AS text, count(*) + 1 AS weight
   FROM passages GROUP BY part, conv_id, turn, level, passage
+), paragraphs AS (
+  SELECT conv_id, turn, level, line, length(line) - length(replace(line, chr(10), '')) + 2 AS weight
+  FROM (SELECT conv_id, turn, level, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) AS line FROM whole WHERE regexp_matches(text, '\n[ \t\r]*\n'))
 ), sought AS (
   SELECT conv_id, turn, level, trim(regexp_replace(lower(line), '\s+', ' ', 'g'), ' ') AS said, weight
-  FROM (SELECT conv_id, turn, level, line, weight FROM whole UNION ALL SELECT conv_id, turn, level, line, 1 FROM quoted)
+  FROM (SELECT conv_id, turn, level, text AS line, weight FROM whole UNION ALL FROM paragraphs UNION ALL SELECT conv_id, turn, level, line, 1 FROM quoted)
 ), own_lines AS (
   SELECT part, conv_id, turn, pos, line FROM marked WHERE marks = ''
+), own_texts AS (
+  SELECT conv_id, turn, string_agg(line, chr(10) ORDER BY pos) AS text FROM own_lines GROUP BY part, conv_id, turn
 ), own AS (
   SELECT conv_id, turn, trim(regexp_replace(lower(line), '\s+', ' ', 'g'), ' ') AS said
   FROM (SELECT conv_id, turn, line FROM own_lines
-        UNION ALL SELECT conv_id, turn, string_agg(line, ' ' ORDER BY pos) FROM own_lines GROUP BY part, conv_id, turn)
+        UNION ALL SELECT conv_id, turn, text FROM own_texts
+        UNION ALL SELECT conv_id, turn, unnest(regexp_split_to_array(text, '\n[ \t\r]*\n')) FROM own_texts)
 ), firsts AS (
   SELECT conv_id, said, min(turn) AS original FROM own WHERE said <> '' GROUP BY conv_id, said
 ), votes AS (

@@ -1,9 +1,10 @@
 """Conversations without quotes, in the order of replies, in DataFrame functions only.
 
 Lines that begin with > are quoted, as many levels deep as there are marks. Adjoining quoted lines of one level are a passage.
-A passage, and each of its lines, is normalised and hashed, and so are the unquoted lines and texts of the messages; the
-first message of a conversation that holds a hash is the original of what quotes it. A message replies to
-the original that most of its least deep quotes lead to.
+A passage, each of its paragraphs and each of its lines is normalised over line breaks and hashed, and so are the unquoted texts of
+the messages, their paragraphs and lines; the first message of a conversation that holds a hash is the original of what
+quotes it. A message replies to the original that most of its least deep quotes lead to, passages and paragraphs counting
+by their lines.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from countspark.llm.common import drop, materialise
 
 _QUOTED = r"^[ \t]*>"
 _MARKS = r"^((?:[ \t]*>)+)"
+_PARAGRAPHS = r"\n[ \t\r]*\n"
 
 
 def normalised(text: F.Column) -> F.Column:
@@ -33,33 +35,45 @@ def unquoted(text: F.Column) -> F.Column:
 
 
 def quoted_lines(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, at, level, line) for each quoted line of messages (conv_id, turn, text)."""
-    some = messages.filter(F.col("text").rlike(r"(?m)" + _QUOTED))
-    lines = some.select("conv_id", "turn", F.posexplode(_lines(F.col("text"))).alias("at", "line")).filter(F.col("line").rlike(_QUOTED))
+    """(conv_id, turn, part, copies, at, level, line) for each quoted line of messages (conv_id, turn, text).
+
+    part tells the texts of one conv_id and turn apart; equal ones are one part with a number of copies.
+    """
+    some = messages.filter(F.col("text").rlike(r"(?m)" + _QUOTED)).groupBy("conv_id", "turn", "text").agg(F.count("*").alias("copies"))
+    lines = some.select("conv_id", "turn", F.sha2("text", 256).alias("part"), "copies", F.posexplode(_lines(F.col("text"))).alias("at", "line")).filter(F.col("line").rlike(_QUOTED))
     marks = F.regexp_extract("line", _MARKS, 1)
     return lines.select(
-        "conv_id", "turn", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"), F.expr("substring(line, length(regexp_extract(line, '^((?:[ \\\\t]*>)+)', 1)) + 1)").alias("line")
-    )
+        "conv_id", "turn", "part", "copies", "at", F.length(F.regexp_replace(marks, "[^>]", "")).alias("level"),
+        F.expr("substring(line, length(regexp_extract(line, '^((?:[ \\\\t]*>)+)', 1)) + 1)").alias("line"),
+    )
 
 
 def _keys(lines: F.Column) -> F.Column:
-    """(key, weight) for a passage as a whole and for each of its lines; blank ones have none."""
-    each = F.transform(lines, lambda line: F.struct(normalised(line).alias("said"), F.lit(1).cast("long").alias("weight")))
-    whole = F.array(F.struct(normalised(F.array_join(lines, " ")).alias("said"), (F.size(lines) + 1).cast("long").alias("weight")))
-    return F.transform(F.filter(F.concat(whole, each), lambda x: x["said"] != ""), lambda x: F.struct(F.sha2(x["said"], 256).alias("key"), x["weight"].alias("weight")))
+    """(key, weight) for a run of lines as a whole, for each paragraph where there are several, and for each line; blank ones have none."""
+    text = F.array_join(lines, "\n")
+    entry = lambda said, weight: F.struct(normalised(said).alias("said"), weight.cast("long").alias("weight"))
+    breaks = lambda x: F.length(x) - F.length(F.replace(x, F.lit("\n"), F.lit("")))
+    several = F.when(text.rlike(_PARAGRAPHS), F.split(text, _PARAGRAPHS)).otherwise(F.array().cast("array<string>"))
+    every = F.concat(
+        F.array(entry(text, F.size(lines) + 1)),
+        F.transform(several, lambda p: entry(p, breaks(p) + 2)),
+        F.transform(lines, lambda line: entry(line, F.lit(1))),
+    )
+    return F.transform(F.filter(every, lambda x: x["said"] != ""), lambda x: F.struct(F.sha2(x["said"], 256).alias("key"), x["weight"].alias("weight")))
 
 
 def links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, original, weight): the earlier turns that a message quotes, by level."""
     lines = quoted_lines(messages)
-    order = Window.partitionBy("conv_id", "turn").orderBy("at")
+    order = Window.partitionBy("conv_id", "turn", "part").orderBy("at")
     new = (F.lag("at").over(order) != F.col("at") - 1) | (F.lag("level").over(order) != F.col("level"))
     passages = (
         lines.withColumn("passage", F.sum(F.when(new, 1).otherwise(0)).over(order))
-        .groupBy("conv_id", "turn", "passage", "level")
+        .groupBy("conv_id", "turn", "part", "copies", "passage", "level")
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "line"))), lambda x: x["line"]).alias("lines"))
     )
-    sought = materialise(passages.select("conv_id", "turn", "level", F.explode(_keys(F.col("lines"))).alias("x")).select("conv_id", "turn", "level", "x.*"))
+    keyed = passages.select("conv_id", "turn", "level", "copies", F.explode(_keys(F.col("lines"))).alias("x"))
+    sought = materialise(keyed.groupBy("conv_id", "turn", "level", F.col("x.key").alias("key")).agg(F.sum(F.col("x.weight") * F.col("copies")).alias("weight")))
     own = messages.join(sought.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", "turn", F.explode(_keys(_lines(unquoted(F.col("text"))))["key"]).alias("key"))
     first = own.join(sought.select("conv_id", "key").distinct(), ["conv_id", "key"], "left_semi").groupBy("conv_id", "key").agg(F.min("turn").alias("original"))
     found = sought.join(materialise(first), ["conv_id", "key"]).filter("original < turn")
@@ -95,7 +109,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     text is without quotes. parent_turn is the turn it replies to, null where it quotes none; root_turn is the first turn
     above it, or its own; depth is the number of replies from there. Rows are sorted by conv_id, root_turn, depth and turn.
     A null text stays null and quotes nothing. Rows without a conv_id or a turn quote nothing and are not quoted. Rows that share
-    conv_id and turn are one message in several parts: they have one parent. Other columns are not read.
+    conv_id and turn are one message in several parts: they have one parent, for which each part votes. Other columns are not read.
     """
     rows = messages.select("conv_id", "turn", "role", "text")
     linked = materialise(links(rows.filter("conv_id is not null and turn is not null")))

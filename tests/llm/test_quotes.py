@@ -10,6 +10,10 @@ def norm(s):
     return re.sub(r"\s+", " ", s.lower()).strip(" ")
 
 
+def paragraphs(lines):
+    return re.split(r"\n[ \t\r]*\n", "\n".join(lines))
+
+
 def slow(rows):
     own, quotes = {}, {}
     for c, t, _, text in rows:
@@ -30,10 +34,11 @@ def slow(rows):
     for (c, t), found in quotes.items():
         votes = Counter()
         for level, lines in found:
-            for said, weight in [(norm(" ".join(lines)), len(lines) + 1), *((norm(x), 1) for x in lines)]:
+            several = paragraphs(lines) if len(paragraphs(lines)) > 1 else []
+            for said, weight in [(norm(" ".join(lines)), len(lines) + 1), *((norm(x), x.count("\n") + 2) for x in several), *((norm(x), 1) for x in lines)]:
                 if not said:
                     continue
-                holders = [u for (d, u), parts in own.items() if d == c and any(said in {norm(x) for x in mine} | {norm(" ".join(mine))} for mine in parts)]
+                holders = [u for (d, u), parts in own.items() if d == c and any(said in {norm(x) for x in mine + paragraphs(mine)} | {norm(" ".join(mine))} for mine in parts)]
                 if holders and min(holders) < t:
                     votes[level, min(holders)] += weight
         if votes:
@@ -65,6 +70,16 @@ ROWS = [
     (3, 2, "user", "> "),
     (4, 0, "user", "x " * 60000),
     (4, 1, "user", "> " + "x " * 60000 + "\nlong"),
+    (5, 0, "user", "one two\nthree four\n\nfive six\nseven\n \n\neight nine"),
+    (5, 1, "user", "> one two three\n> four\nA paragraph with other line breaks."),
+    (5, 2, "user", "> five\n> six seven\n>\n> A paragraph with\n> other line breaks.\nBoth"),
+    (6, 0, "user", "a b c"),
+    (6, 1, "user", "> a\n> b\n> c"),
+    (6, 1, "user", "> a\n> b\n> c"),
+    (6, 2, "user", "other"),
+    (6, 3, "user", "> a b c\n> other"),
+    (6, 3, "user", "> a b c\n> other"),
+    (6, 3, "user", "> other"),
 ] + [(9, k, "user", (f"> message {k - 1}\n" if k else "") + f"message {k}") for k in range(40)]
 
 
@@ -87,3 +102,9 @@ def test_nulls_and_empty(spark, tmp_path):
     assert len(got) == 4 and all(r.parent_turn is None for r in got)
     spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/conversations.parquet")
     assert queries.op4_quotes(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_repeated_rows_and_paragraphs_find_their_parents(spark, tmp_path):
+    spark.createDataFrame(ROWS, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.conv_id, r.turn): r.parent_turn for r in queries.op4_quotes(spark, str(tmp_path)).collect()}
+    assert (got[6, 1], got[5, 1], got[5, 2]) == (0, 0, 0)
