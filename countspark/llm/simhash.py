@@ -1,7 +1,8 @@
 """SimHash near-duplicates: 64-bit fingerprints, linked at a few differing bits through a Gray-order hierarchical index.
 
 Fingerprints are deduplicated first, so a group of copies is one row. Two fingerprints that differ in at most D bits agree
-in one of D + 1 bit bands; each band deals the fingerprints by its bits. Within a dealt group, a tree is built over the
+in k of D + k bit blocks; each choice of k blocks deals the fingerprints by its bits, and k grows with their number, so that
+groups stay small. Within a dealt group, a tree is built over the
 fingerprints in Gray order: its upper nodes hold the bits that all members share, its lower nodes the rest, and a query
 adds up differing bits on its way down and leaves whole groups as soon as they exceed D. Groups too large for one task are
 split into blocks, of which every pair is a task of its own, so no link is lost and no task is unbounded.
@@ -10,7 +11,7 @@ split into blocks, of which every pair is a task of its own, so no link is lost
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import accumulate
+from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from countspark.llm.common import components, drop, materialise, ship
+from countspark.llm.common import blocked, components, drop, materialise, ship
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 LEAF, FANOUT = 16, 8  # rows of a lowest node, children of each other node
@@ -123,15 +124,15 @@ def local_roots(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray | None =
 
 def _link(rows: pa.Table, most: int) -> pa.RecordBatch:
     """Edges from each fingerprint of a chunk to the first of those it is linked with there."""
-    fps, ids = rows["fp"].to_numpy().view(np.uint64), rows["first_id"].to_numpy()
-    index, label = GrayIndex(fps), np.arange(len(fps))
+    fps = rows["fp"].to_numpy()
+    index, label = GrayIndex(fps.view(np.uint64)), np.arange(len(fps))
     for i in range(0, len(fps), QUERIES):
-        q, row = index.within(fps[i : i + QUERIES], most)
+        q, row = index.within(index.fps[i : i + QUERIES], most)
         q += i
         keep = row > q
         label = local_roots(len(fps), q[keep], row[keep], label)
     moved = np.flatnonzero(label != np.arange(len(fps)))
-    return pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[label[moved]])], names=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array(fps[moved]), pa.array(fps[label[moved]])], names=["a", "b"])
 
 
 def chunked(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> Iterator[pa.Table]:
@@ -158,35 +159,35 @@ def chunked(batches: Iterator[pa.RecordBatch], keys: list[str], least: int) -> I
         yield pa.Table.from_batches(held)
 
 
+def tables(n: int, most: int, block: int = CHUNK) -> list[int]:
+    """Masks of the bits that deal n fingerprints: two at most `most` bits apart agree in all bits of one of them, whatever n.
+
+    There are as many more bits in each as keep a group of evenly spread fingerprints at a quarter of a block; in the end, all
+    choices of that many blocks.
+    """
+    for k in range(1, 4):
+        bounds = [round(64 * i / (most + k)) for i in range(most + k + 1)]
+        blocks = [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(bounds, bounds[1:])]
+        masks = [sum(c) for c in combinations(blocks, k)]
+        if n <= block // 4 << min(m.bit_count() for m in masks):
+            break
+    return masks
+
+
 def links(fps: DataFrame, most: int = 4, block: int = CHUNK) -> DataFrame:
-    """Edges (a, b) that connect the rows (fp, first_id), fp being distinct, whose fingerprints differ in at most `most` bits."""
+    """Edges (a, b) that connect the rows (fp), which are distinct, whose fingerprints differ in at most `most` bits."""
     ship(fps.sparkSession)
-    bounds = [round(64 * i / (most + 1)) for i in range(most + 2)]
-    turned = [
-        F.struct(
-            F.lit(i).alias("band"),
-            F.shiftrightunsigned("fp", 64 - hi).bitwiseAND(F.lit((1 << (hi - lo)) - 1)).alias("key"),
-            gray_rank(F.shiftleft("fp", lo).bitwiseOR(F.shiftrightunsigned("fp", 64 - lo)) if lo else F.col("fp")).alias("rank"),
-        )
-        for i, (lo, hi) in enumerate(zip(bounds, bounds[1:]))
-    ]
-    dealt = fps.select("fp", "first_id", F.explode(F.array(*turned)).alias("x")).select("fp", "first_id", "x.*")
-    large = materialise(dealt.groupBy("band", "key").count().filter(F.col("count") > block))
-    blocks = F.coalesce(F.ceil(F.col("count") / block), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp", F.lit(7)), F.col("blocks")).cast("int")
-    tasks = (
-        dealt.join(large, ["band", "key"], "left")
-        .withColumn("blocks", blocks)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rank", "fp", "first_id")
-    )
+    masks = tables(fps.count(), most, block)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
+    turned = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m).cast("long")).alias("key")) for i, m in enumerate(signed)])
+    dealt = fps.select("fp", gray_rank(F.col("fp")).alias("rank"), F.explode(turned).alias("x")).select("fp", "rank", "x.*")
     keys = ["band", "key", "i", "j"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunked(batches, keys, CHUNK):
             yield _link(rows, most)
 
+    tasks = blocked(dealt, ["band", "key"], "fp", block).select(*keys, "rank", "fp")
     return tasks.repartition(*keys).sortWithinPartitions(*keys, "rank").mapInArrow(run, "a long, b long")
 
 
@@ -195,13 +196,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     component_id: the smallest id reachable by links, the row's own included. A null text counts as empty; empty texts
     have the fingerprint zero and are linked like any other. Rows with equal texts have equal fingerprints. A row whose
-    id is null gets the component of its fingerprint, or null where no row with an id is in it. Other columns are not read.
+    id is null links like any other and gets the smallest id of its component, or null where no row with an id is in it. Ids
+    may be of any type with an order. Other columns are not read.
     """
     by_doc = materialise(fingerprints(docs, id_col, text_col, shingle))
     fps = materialise(by_doc.groupBy("fp").agg(F.min("id").alias("first_id")))
-    edges = links(fps.filter("first_id is not null"), most)
-    roots = components(edges).withColumnRenamed("node", "first_id")
-    named = materialise(fps.join(roots, "first_id", "left").select("fp", F.coalesce("component", "first_id").alias("component_id")))
+    edges = materialise(links(fps.select("fp"), most))
+    roots = components(edges).withColumnRenamed("node", "fp")
+    rooted = materialise(fps.join(roots, "fp", "left").select("fp", "first_id", F.coalesce("component", "fp").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialise(rooted.join(smallest, "root").select("fp", "component_id"))
+    drop(fps, edges, rooted)
     return by_doc.join(named, "fp").select(
         F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
