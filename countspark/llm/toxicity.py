@@ -2,8 +2,9 @@
 
 The features of a text are its words and their beginnings of 4 to 6 letters (which catch inflected forms), each with
 log(1 + count). One weight vector is shared by all thresholds: P(grade >= k) = sigmoid(w x - t_k), with t_1 < t_2 < t_3, and
-the expected severity is the sum of these probabilities. Labels say only whether a text is toxic; the grade of a toxic text is
-the third of toxic texts it falls in by its number of telling words, as a first fit with one threshold finds them.
+the expected severity is the sum of these probabilities. Labels say only whether a text is toxic, and only this can be held
+against them; the grade of a toxic text is made here, from no label: the third of toxic texts it falls in by its number of
+telling words, as a first fit with one threshold finds them. So severity orders texts by how much of what is telling they hold.
 """
 
 from __future__ import annotations
@@ -19,11 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countspark.llm.common import ship
+from countspark.llm.common import drop, materialise, ship
 
-SAMPLE = 7000  # labelled documents that a fit reads, in the order of a hash of their ids
-FEATURES = 1024  # features that a fit keeps
-SUPPORT = 6  # toxic documents of the sample that a kept feature is in, at least
+SAMPLE = 7000  # different labelled texts that a fit reads, in the order of their digests
+TOXIC_SHARE = 0.25  # of the sample that toxic texts may take
+FEATURES = 1024  # features that a fit keeps, the most telling ones; None: all
+SUPPORT = 0.015  # of the sample's toxic texts that a kept feature is in, at least; and two of them, unless this is 0
 GRADES = 3  # grades above 0
 _WORD = re.compile(r"\w+")
 _CACHE = 300_000
@@ -123,15 +125,24 @@ def _score(model: Severity, hits: _Hits, text: str) -> float:
     return float(sum(model.weights[f] * np.log1p(n) for f, n in sorted(counts.items())))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Severity:
-    """Fit on at most `sample` labelled documents. A document with several labels counts as toxic if one says so.
+def fit(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
+    sample: int = SAMPLE, features: int | None = FEATURES, support: float = SUPPORT,
+) -> Severity:
+    """Fit on at most `sample` different labelled texts. A text with several labels counts as toxic if one says so.
 
-    Rows with a null id, label or text are left out, and exact copies count once. Without both toxic and other documents
-    there is nothing to learn: the model then has no feature and finds nothing toxic.
+    Rows with a null id, label or text are left out, and exact copies count once. Toxic texts take a quarter of the
+    sample at most, or what others leave; where the sample holds another share of the toxic texts than of the others, the thresholds and
+    the cut are corrected for it. Without both toxic and other texts there is nothing to learn: the model then has no feature and
+    finds nothing toxic. features=None, support=0 keep every telling feature.
     """
     ship(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
-    chosen = known.orderBy(F.xxhash64("id"), "id").limit(sample)
+    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
+    labelled = materialise(texts.select("id", "digest").join(known, "id").groupBy("digest").agg(F.max("toxic").alias("toxic")))
+    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    quota = min(sizes.get(1, 0), max(int(sample * TOXIC_SHARE), sample - sizes.get(0, 0)))
+    chosen = [labelled.filter(F.col("toxic") == y).orderBy("digest").limit(n) for y, n in ((1, quota), (0, sample - quota))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,30 +150,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 part = batch.slice(i, 64)
                 found = [text_features(t.as_py()) for t in part.column("text")]
                 keys = pa.array([np.array(k, np.uint32).view(np.int32) for k, _ in found], pa.list_(pa.int32()))
-                counts = pa.array([np.minimum(n, 127).astype(np.int8).tolist() for _, n in found], pa.list_(pa.int8()))
-                copy = pa.array([crc32(t.as_py().encode()) for t in part.column("text")], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("toxic"), copy, keys, counts], names=["toxic", "copy", "keys", "counts"])
+                counts = pa.array([n for _, n in found], pa.list_(pa.int32()))
+                yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("toxic"), keys, counts], names=["digest", "toxic", "keys", "counts"])
 
-    texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").select("toxic", "text").mapInArrow(run, "toxic int, copy long, keys array<int>, counts array<tinyint>")
-    got = rows.toArrow().combine_chunks()
-    copy, y = got["copy"].to_numpy(), got["toxic"].to_numpy()
-    order = np.lexsort((y, copy))
-    first = order[np.concatenate([[True], np.diff(copy[order]) != 0])] if len(order) else order
-    return _fit(got, np.sort(first))
+    rows = texts.select("digest", "text").join(F.broadcast(chosen[0].union(chosen[1])), "digest").groupBy("digest", "toxic").agg(F.first("text").alias("text"))
+    got = rows.mapInArrow(run, "digest binary, toxic int, keys array<int>, counts array<int>").toArrow().sort_by("digest").combine_chunks()  # at most `sample` texts
+    drop(labelled)
+    return _fit(got, sizes, features, support)
 
 
-def _fit(got: pa.Table, rows: np.ndarray) -> Severity:
-    y = got["toxic"].to_numpy()[rows]
+def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = FEATURES, support: float = SUPPORT) -> Severity:
+    """From the texts (toxic, keys, counts) of a sample; sizes: how many there are of each class in all."""
+    y = got["toxic"].to_numpy()
     nothing = Severity({}, np.zeros(0), np.array([30.0 + k for k in range(GRADES)]))
     if not y.any() or y.all():
         return nothing
-    got = got.take(rows).combine_chunks()
     keys = got["keys"].combine_chunks().flatten().to_numpy().view(np.uint32)
     counts = got["counts"].combine_chunks().flatten().to_numpy()
     doc = np.repeat(np.arange(len(y), dtype=np.int32), got["keys"].combine_chunks().value_lengths().to_numpy())
     kept, n1 = np.unique(keys[y[doc] == 1], return_counts=True)
-    kept, n1 = kept[n1 >= SUPPORT], n1[n1 >= SUPPORT]
+    enough = n1 >= (max(2, support * y.sum()) if support else 1)
+    kept, n1 = kept[enough], n1[enough]
     if not len(kept):
         return nothing
     others, n_other = np.unique(keys[y[doc] == 0], return_counts=True)
@@ -171,7 +179,7 @@ def _fit(got: pa.Table, rows: np.ndarray) -> Severity:
     odds = np.log((n1 + 0.5) / (y.sum() + 1)) - np.log((n0 + 0.5) / ((1 - y).sum() + 1))
     telling = odds > np.log(4)
     strength = np.where(telling, odds * np.sqrt(n1), -1)
-    best = np.argsort(-strength, kind="stable")[: min(FEATURES, int(telling.sum()))]
+    best = np.argsort(-strength, kind="stable")[: int(telling.sum()) if features is None else min(features, int(telling.sum()))]
     kept = np.sort(kept[best])
     if not len(kept):
         return nothing
@@ -184,15 +192,17 @@ def _fit(got: pa.Table, rows: np.ndarray) -> Severity:
     cuts = np.quantile(telling_words[y == 1], [k / GRADES for k in range(1, GRADES)])
     grade = np.where(y == 1, 1 + np.searchsorted(cuts, telling_words, "left"), 0)
     w, t = fit_ordinal(x, grade, GRADES)
-    return Severity(index, w, t, best_cut(x.scores(w) - t[0], y))
+    stands_for = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())  # texts for each one of the sample
+    t = t - np.log(stands_for[y == 1][0] / stands_for[y == 0][0])
+    return Severity(index, w, t, best_cut(x.scores(w) - t[0], y, stands_for))
 
 
-def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
-    """The probability that parts the sample with the best F1: the middle, in log odds, between the scores on either side."""
+def best_cut(logits: np.ndarray, y: np.ndarray, weights: np.ndarray) -> float:
+    """The probability that parts the weighted sample with the best F1: the middle, in log odds, between the scores on either side."""
     order = np.argsort(-logits, kind="stable")
-    s, hit = logits[order], y[order]
-    caught = np.cumsum(hit)
-    f1 = 2 * caught / (np.arange(1, len(s) + 1) + hit.sum())
+    s, hit, weight = logits[order], y[order], weights[order]
+    caught = np.cumsum(hit * weight)
+    f1 = 2 * caught / (np.cumsum(weight) + caught[-1])
     last = np.append(s[1:] < s[:-1], True)  # ties stay together
     k = int(np.argmax(np.where(last, f1, -1)))
     below = s[k + 1] if k + 1 < len(s) else s[k] - 1
@@ -203,7 +213,8 @@ def grade(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: st
     """(id, severity, p_toxic, grade, toxic) for every row.
 
     severity is the expected grade; grade the most probable one; toxic says that the probability of a grade above 0
-    reaches the model's cut, which parts the labelled sample best. A null or empty text has no feature, so the severity of a text without any telling word.
+    reaches the model's cut, which parts the labelled sample best; a text just there is toxic. A null or empty text has no
+    feature, so the severity of a text without any telling word. Other columns are not read.
     """
     ship(docs.sparkSession)
 
