@@ -7,7 +7,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from countspark.llm import pii, queries, toxicity
-from tests.llm.test_simhash import slow_components, slow_fingerprint
+from tests.llm.test_shingles import slow_components
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ def test_against_a_plain_version(spark):
     model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     hits = toxicity._Hits(model.index)
     rows = {i: t for i, t in rows.items() if model.over(np.array([toxicity._score(model, hits, t)]))[0, 0] < model.cut}
-    roots = slow_components([(i, slow_fingerprint(t)) for i, t in rows.items()])
+    roots = slow_components(list(rows.items()))
     rows = {i: t for i, t in rows.items() if roots[i] == i}
     field = pii.fit(docs.filter(docs.doc_id.isin(list(rows))))
     rows = {i: pii.redacted(t, pii.find([t], field)[0][1]) for i, t in rows.items()}
@@ -43,7 +43,7 @@ def test_against_a_plain_version(spark):
 
 
 def test_stages_keep_the_columns(spark):
-    rows = [(1, "an idiot", "en", "s", 8), (1, "an idiot", "en", "s", 8), (None, None, None, None, None), (2, "", "x", "y", 0), (3, "mail a.b@c.de", "en", "s", 13)]
+    rows = [(1, "an idiot", "en", "s", 8), (1, "an idiot", "en", "s", 8), (None, None, None, None, None), (2, "", "x", "y", 0), (3, "mail a.b@c.de", "en", "s", 13), (4, "long " * 200_000, "en", "s", 10**6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for given in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
