@@ -21,7 +21,8 @@ from pyspark.sql import types as T
 from countspark.llm.common import ship
 from countspark.llm.split import byte_bpe_pieces
 
-CACHE = 550_000  # pieces whose ids a worker keeps
+CACHE = 80_000_000  # bytes, about, of pieces and ids that a worker keeps
+ENTRY = 180  # bytes that an entry takes beside its characters and ids
 PAIRS = 400_000  # pairs of neighbours whose validity a worker keeps
 
 
@@ -164,13 +165,15 @@ class _Packed(dict):
 
     def __init__(self, bpe: PrefixBpe):
         super().__init__()
-        self.bpe = bpe
+        self.bpe, self.held = bpe, 0
         self.packed = {i: i.to_bytes(4, "little") for i in bpe.tokens}.__getitem__
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
         ids = self[piece] = b"".join(map(self.packed, self.bpe.encode(piece.encode())))
+        self.held += len(piece) + len(ids) + ENTRY
+        if self.held > CACHE:
+            self.clear()
+            self.held = 0
         return ids
 
 
@@ -182,7 +185,8 @@ def _encoder(path: str, pattern: str) -> tuple[Callable[[str], list[str]], _Pack
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids) for every row: ids are the text's tokens as little-endian unsigned 32-bit integers.
 
-    Each match of the pattern is encoded separately, without special tokens. A null text counts as empty: no tokens.
+    Each match of the pattern is encoded separately, without special tokens. A null text counts as empty: no tokens. Repeated
+    rows are encoded each; a very long text takes time and memory linear in it. Other columns are not read.
     """
     ship(docs.sparkSession)
 

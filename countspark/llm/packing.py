@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from countspark.llm.common import materialise, ship
 from countspark.llm.split import usual, word_bpe_pieces
 
-CACHE = 700_000  # pieces whose ids a worker keeps
+CACHE = 100_000_000  # bytes, about, of pieces and ids that a worker keeps
+ENTRY = 180  # bytes that an entry takes beside its characters and ids
 
 
 class _WordIds:
@@ -36,6 +37,7 @@ class _WordIds:
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.known: dict[str, bytes] = {}  # of this very type: a set's difference() looks up in it instead of walking it
+        self.held = 0
         self.whole = Tokenizer.from_file(path)
         self.pieces = Tokenizer.from_file(path)
         self.pieces.normalizer = normalizers.Sequence([])
@@ -47,12 +49,14 @@ class _WordIds:
         if "<|" in text or not usual(low):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         parts = word_bpe_pieces(low)
-        if len(self.known) > CACHE:
+        if self.held > CACHE:
             self.known.clear()
+            self.held = 0
         if missing := list(set(parts).difference(self.known)):
             found = [x.ids for x in self.pieces.encode_batch_fast(missing, add_special_tokens=False)]
             ends = np.cumsum([4 * len(x) for x in found]).tolist()
             packed = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+            self.held += sum(map(len, missing)) + len(packed) + ENTRY * len(missing)
             self.known.update(zip(missing, [packed[s:e] for s, e in zip([0, *ends], ends)]))
         return b"".join(map(self.known.__getitem__, parts))
 

@@ -39,9 +39,14 @@ def fingerprint(text: bytes, shingle: int = 4) -> int:
     else:
         starts = [0, *(e + 1 for e in ends)]
         hashes = [xxh64_intdigest(joined[s:e], 42) for s, e in zip(starts, ends[shingle - 1 :])]
+    return majority(np.array(hashes, np.uint64))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits that are set in over half of the hashes."""
     total = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 1 << 16):
-        part = np.array(hashes[i : i + (1 << 16)], np.uint64).view(np.uint8).reshape(-1, 8)
+        part = hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8)
         total += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > len(hashes), bitorder="little").view(np.uint64)[0])
 
