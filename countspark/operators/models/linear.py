@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -92,15 +94,35 @@ class Logistic:
         return out.withColumn(name, sum((F.col(c) for c in names), F.lit(float(self.beta[0])))).drop(*names)
 
     def refine(self, cube: DataFrame, max_iter: int = 25, tol: float = 1e-6) -> Logistic:
-        """Newton steps of the logistic likelihood; each is one grouped sum over the cube."""
+        """Newton steps of the logistic likelihood, each one pass over the cube: a partition gives its own sums of products, one row."""
+        spec, at, size = self.spec, {k: i + 1 for i, k in enumerate(self.index)}, len(self.beta)
+        columns = [{v: at.get((f, v), size) for v in vs} for f, vs in spec.domains.items()]  # the place of each value; size: none
         beta = self.beta.copy()
+
+        def step(now: np.ndarray):
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                left, right, wide = np.zeros((size + 1, size + 1)), np.zeros(size + 1), np.append(now, 0.0)
+                for batch in batches:
+                    n_pos, n_neg = (batch.column(len(columns) + k).to_numpy().astype(float) for k in (0, 1))
+                    rows, x = np.arange(len(n_pos)), np.zeros((len(n_pos), size + 1))
+                    x[:, 0] = 1
+                    for places, c in zip(columns, batch.columns):
+                        x[rows, [places.get(v, size) for v in c.to_pylist()]] = 1
+                    z = np.clip(x @ wide, -500, 500)
+                    mu = np.clip(1 / (1 + np.exp(-z)), 1e-10, 1 - 1e-10)
+                    n = n_pos + n_neg
+                    w = n * mu * (1 - mu)
+                    left += x.T @ (x * w[:, None])
+                    right += x.T @ (w * z + n_pos - n * mu)
+                yield pa.RecordBatch.from_arrays([pa.array([left[:size, :size].ravel()]), pa.array([right[:size]])], names=["left", "right"])
+
+            return run
+
+        lines = cube.select(*[F.lower(F.col(f).cast("string")) for f in spec.features], "n_pos", "n_neg")
         for _ in range(max_iter):
-            at = Logistic(self.spec, self.index, beta).linear(cube).withColumn("_z", clipped(F.col("_z"), -500.0, 500.0))
-            mu = clipped(sigmoid(F.col("_z")), 1e-10, 1 - 1e-10)
-            n = F.col("n_pos") + F.col("n_neg")
-            w = mu * (1.0 - mu)
-            rows = sums(at, self.spec, {"w": n * w, "wz": n * w * F.col("_z") + F.col("n_pos") - n * mu}).collect()
-            new = np.linalg.solve(gram(rows, self.index) + self.ridge * np.eye(len(beta)), moment(rows, self.index, "wz"))
+            parts = lines.mapInArrow(step(beta), "left array<double>, right array<double>").toArrow()  # one row for each partition
+            left, right = (sum((np.array(v) for v in parts[c].to_pylist()), np.zeros(1)) for c in ("left", "right"))
+            new = np.linalg.solve(left.reshape(size, size) + self.ridge * np.eye(size), right)
             moved, beta = np.abs(new - beta).max(), new
             if moved < tol:
                 break

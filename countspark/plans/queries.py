@@ -24,11 +24,11 @@ _TABLES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
+def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
-        _TABLES[f.__name__] = f
+        _TABLES[name or f.__name__] = f
         if sql:
-            _SQL[f.__name__] = sql
+            _SQL[name or f.__name__] = sql
         return f
 
     return keep
@@ -717,10 +717,10 @@ def k_modes_clusters(spark, sf_dir):
 # ---- generators, noise and scaling
 
 
-@query(f"WITH {RISK_SQL} SELECT l_orderkey, l_linenumber, CASE WHEN y = 1 THEN 'n' ELSE 'r' END AS flag, y FROM labelled WHERE l_orderkey % 97 = 0")
+@query(f"WITH {RISK_SQL} SELECT l_orderkey, l_linenumber, CASE WHEN y = 1 THEN 'n' ELSE 'r' END AS flag, y FROM labelled")
 def noisy_label_flip(spark, sf_dir):
     noisy = F.when(F.col("y") == 1, "n").otherwise("r")
-    return risk_view(spark, sf_dir).filter(F.pmod("l_orderkey", F.lit(97)) == 0).select(*KEYS, noisy.alias("flag"), "y")
+    return risk_view(spark, sf_dir).select(*KEYS, noisy.alias("flag"), "y")
 
 
 @query(f"SELECT n AS row_count, {_R('71.0 * pow(n / 370000.0::DOUBLE, 0.794935661)', 3)} AS seconds FROM (VALUES (100000::BIGINT), (1000000::BIGINT), (100000000::BIGINT)) AS t(n)")
@@ -751,9 +751,9 @@ def batch_distribution(spark, sf_dir):
     return rounded(records.batch_distribution(df, "o_orderpriority", "done"))
 
 
-@query("SELECT o_orderkey, CAST(CAST(o_totalprice AS BIGINT) % 101 >= 50 AS INTEGER) AS is_high_risk FROM orders WHERE o_totalprice = floor(o_totalprice)")
+@query("SELECT o_orderkey, CAST(CAST(floor(o_totalprice) AS BIGINT) % 101 >= 50 AS INTEGER) AS is_high_risk FROM orders")
 def derived_label(spark, sf_dir):
-    df = read(spark, sf_dir, "orders").filter(F.col("o_totalprice") == F.floor("o_totalprice")).withColumn("risk_level", F.pmod(F.col("o_totalprice").cast("long"), F.lit(101)))
+    df = read(spark, sf_dir, "orders").withColumn("risk_level", F.pmod(F.floor("o_totalprice").cast("long"), F.lit(101)))
     return records.derive_label(df).select("o_orderkey", "is_high_risk")
 
 
@@ -784,6 +784,8 @@ def _drained(spark, counted: DataFrame) -> DataFrame:
     import uuid
 
     name = f"stream_{uuid.uuid4().hex}"
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/countspark-scratch"
     return streams.drain(counted, name, f"{root.rstrip('/')}/{name}")
 
@@ -817,8 +819,12 @@ def decisions(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from countspark.plans import screening  # noqa: F401  (registers its queries)
+
     return dict(_TABLES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from countspark.plans import screening  # noqa: F401
+
     return dict(_SQL)

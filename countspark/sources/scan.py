@@ -56,3 +56,9 @@ def count_upper_bound(df: DataFrame, filters: list[str]) -> DataFrame:
     """One row (value): the least count over the filters with any one left out, which bounds the count with all of them."""
     counts = [F.count_if(predicate(df, [f for j, f in enumerate(filters) if j != i])) for i in range(len(filters))] or [F.count("*")]
     return df.agg((F.least(*counts) if len(counts) > 1 else counts[0]).alias("value"))
+
+
+def sample(df: DataFrame, n: int, keys: list[str], seed: int = 42) -> DataFrame:
+    """n rows in the order of a digest of the seed and the keys, so that the same rows come whatever the partitions."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    return df.orderBy(digest, *keys).limit(n)
