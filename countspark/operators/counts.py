@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countspark.plans.spec import DatasetSpec
@@ -65,9 +65,9 @@ def tidy(counts: DataFrame) -> DataFrame:
 def domains(df: DataFrame, features: list[str]) -> DataFrame:
     """(feature, position, value): each feature's distinct values from position 0; whole numbers are ordered as numbers."""
     values = df.select(*[F.lower(F.col(f).cast("string")).alias(f) for f in features]).unpivot([], features, "feature", "value")
-    every = values.filter("value is not null").groupBy("feature").agg(F.collect_set("value").alias("values"))
-    key = F.transform("values", lambda v: F.struct(v.try_cast("long").isNull().alias("text"), v.try_cast("long").alias("number"), v.alias("value")))
-    return every.select("feature", F.posexplode(F.array_sort(key)).alias("position", "x")).select("feature", "position", "x.value")
+    number = F.col("value").try_cast("long")
+    order = Window.partitionBy("feature").orderBy(number.isNull(), number, "value")  # over distinct values only
+    return values.filter("value is not null").distinct().select("feature", (F.row_number().over(order) - 1).alias("position"), "value")
 
 
 def gaussian_stats(df: DataFrame, numeric: list[str] | tuple[str, ...], label: str = "y") -> DataFrame:
