@@ -71,3 +71,14 @@ def test_query(spark, tmp_path, theirs):
         ids = theirs.encode_ordinary(t or "")
         want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
+
+
+def test_empty_table_and_clashing_columns(spark, tmp_path):
+    from countspark.llm import queries
+
+    rows = [(1, "a b", "clash", 7), (1, "a b", "clash", 7), (2, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string, n_tokens int")
+    for name, given in (("some", df), ("none", df.limit(0))):
+        given.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        got = [(r.doc_id, r.n_tokens) for r in queries.op1_bpe(spark, f"{tmp_path}/{name}").collect()]
+        assert sorted(got) == ([(1, 2), (1, 2), (2, 0)] if name == "some" else [])
