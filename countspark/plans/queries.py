@@ -13,6 +13,7 @@ from countspark.functions import clinical, strings
 from countspark.functions.math import DOUBLING, apply_platt, power_law, recalibrate
 from countspark.operators import analysis, baselines, counts, metrics, report, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
+from countspark.plans import model_sql
 from countspark.plans.spec import RISK, DatasetSpec, risk_view, test_of, train_of
 from countspark.sources import datagen, records, scan
 from countspark.streaming import counts as streams
@@ -459,12 +460,12 @@ def _fit_and_score(spark, sf_dir, fit) -> DataFrame:
     return model.transform(test_of(risk_view(spark, sf_dir)))
 
 
-@query()
+@query(model_sql.forest(RISK_SQL, RISK, KEYS, [FEATURES], k_min=suppress.MIN_CELL))
 def tree_scores(spark, sf_dir):
     return scores(_fit_and_score(spark, sf_dir, lambda c: trees.decision_tree(c, RISK, *totals(c), k_min=suppress.MIN_CELL)))
 
 
-@query()
+@query(model_sql.forest(RISK_SQL, RISK, KEYS, trees.feature_subsets(FEATURES, 7, 4, 42)))
 def forest_scores(spark, sf_dir):
     return scores(_fit_and_score(spark, sf_dir, lambda c: trees.random_forest(c, RISK, *totals(c))))
 
@@ -478,12 +479,12 @@ def boost_round1(spark, sf_dir):
     return rounded(spark.createDataFrame([(s.feature, s.value, s.left_pred, s.alpha, s.error) for s in model.stumps], "feature string, value string, left_pred int, alpha double, error double"))
 
 
-@query()
+@query(model_sql.adaboost(RISK_SQL, RISK, KEYS))
 def boost_scores(spark, sf_dir):
     return scores(_fit_and_score(spark, sf_dir, lambda c: trees.adaboost(c, RISK)))
 
 
-@query()
+@query(model_sql.boosted_regression(RISK_SQL, RISK, KEYS))
 def boosted_regression_scores(spark, sf_dir):
     return scores(_fit_and_score(spark, sf_dir, lambda c: analysis.boosted_stumps(c, RISK)))
 
@@ -548,7 +549,15 @@ def f1_best(spark, sf_dir):
     return rounded(metrics.ranking(nb_curve(spark, sf_dir)).select("f1_best"))
 
 
-@query()
+_PRIOR = "(SELECT avg(y) FROM nb)"
+_MOVED = f"(s / (1 - s) * (0.015 / {_PRIOR}) * ((1 - {_PRIOR}) / (1 - 0.015)))"
+_FULL = f""", moved AS (SELECT CASE WHEN s <= 0 THEN 0 WHEN s >= 1 THEN 1 ELSE {_MOVED} / (1 + {_MOVED}) END AS s, y FROM nbr), mpts AS (SELECT s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM moved GROUP BY s),
+mcv AS (SELECT s, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM mpts WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)),
+ranks AS (SELECT {_R('sum(n * (tp - p / 2.0::DOUBLE)) / (max(np) * max(nn))')} AS roc_auc, {_R('sum(p * tp / (tp + fp)::DOUBLE) / max(np)')} AS pr_auc, {_R('max(2 * tp / (tp + fp + np))')} AS f1_best FROM cv CROSS JOIN al),
+mranks AS (SELECT {_R('max(2 * tp / (tp + fp + np))')} AS f1_shifted FROM mcv CROSS JOIN al)"""
+
+
+@query(f"WITH {NB_SQL}, {_CURVE}{_FULL} SELECT c.*, r.*, m.*, {_R(_PRIOR)} AS cohort_prior, 0.015::DOUBLE AS population_prior, 0.5::DOUBLE AS threshold FROM ({confusion_sql('nbr', 's >= 0.5')}) c CROSS JOIN ranks r CROSS JOIN mranks m")
 def full_metrics(spark, sf_dir):
     with held(nb_scored(spark, sf_dir).select("y", F.round("risk", 9).alias("risk"))) as scored:
         return rounded(metrics.metrics(scored))
@@ -673,7 +682,7 @@ def chi_square(spark, sf_dir):
     return rounded(analysis.chi_square(train_marginals(spark, sf_dir)), 4)
 
 
-@query()
+@query(model_sql.fisher(RISK_SQL))
 def fisher_tests(spark, sf_dir):
     return rounded(analysis.fisher_tests(train_marginals(spark, sf_dir)))
 
@@ -691,7 +700,7 @@ def anomaly_zscore(spark, sf_dir):
     return rounded(analysis.z_scores(read(spark, sf_dir, "events"), "value", ["event_type"]).select("event_id", "event_type", "z", "outlier"))
 
 
-@query()
+@query(model_sql.discriminant(RISK_SQL, KEYS, RISK.numeric))
 def discriminant_scores(spark, sf_dir):
     view = risk_view(spark, sf_dir)
     return scores(analysis.Discriminant.fit(train_of(view), list(RISK.numeric)).transform(test_of(view)))
@@ -703,12 +712,13 @@ def principal_components(spark, sf_dir):
     return rounded(spark.createDataFrame([(i, float(v), *map(float, p)) for i, (v, p) in enumerate(zip(values, parts))], "component int, variance double, w0 double, w1 double, w2 double"), 4)
 
 
-@query()
-def k_modes_clusters(spark, sf_dir):
-    start = [{f: vs[i % len(vs)] for f, vs in RISK.domains.items()} for i in range(3)]
+_MODES = [{f: vs[i % len(vs)] for f, vs in RISK.domains.items()} for i in range(3)]
 
+
+@query(model_sql.k_modes(RISK_SQL, RISK, _MODES))
+def k_modes_clusters(spark, sf_dir):
     def sizes(cube: DataFrame, p: int, n: int) -> DataFrame:
-        _, cluster = analysis.k_modes(cube, RISK, start)
+        _, cluster = analysis.k_modes(cube, RISK, _MODES)
         return cube.groupBy(cluster.alias("cluster")).agg(F.sum(F.col("n_pos") + F.col("n_neg")).alias("cnt"))
 
     return from_cube(spark, sf_dir, sizes)
@@ -813,7 +823,7 @@ def confusion_cells(spark, sf_dir):
     return report.confusion_cells(nb_scored(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {NB_SQL}, sd AS (SELECT l_orderkey, l_linenumber, {_R('risk')} AS risk FROM nb), dc AS (SELECT *, CASE WHEN risk >= 0.5 THEN 'DENY' ELSE 'APPROVE' END AS decision FROM sd) SELECT * FROM dc QUALIFY row_number() OVER (PARTITION BY decision ORDER BY l_orderkey, l_linenumber, risk) <= 5")
 def decisions(spark, sf_dir):
     return report.decisions(rounded(nb_scored(spark, sf_dir).select(*KEYS, "risk")), KEYS, order=[*KEYS, "risk"])
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from countspark.functions import clinical
 from countspark.operators import counts, metrics, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
+from countspark.plans import model_sql
 from countspark.plans import queries as q
 from countspark.plans.spec import DatasetSpec
 from countspark.sources import datagen, scan
@@ -228,12 +229,12 @@ def _from_screening(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
     return q.rounded(model.transform(held_out(view)).select("c_custkey", "risk", "pred"))
 
 
-@q.query()
+@q.query(model_sql.forest(_sql(0), SCREENING, ["c_custkey"], [SCREENING.features], k_min=K))
 def screening_tree_scores_k11(spark, sf_dir):
     return _from_screening(spark, sf_dir, lambda cube, p, n: trees.decision_tree(cube, SCREENING, p, n, k_min=K))
 
 
-@q.query()
+@q.query(model_sql.forest(_sql(0), SCREENING, ["c_custkey"], trees.feature_subsets(SCREENING.features, 7, 4, 42), k_min=K))
 def screening_forest_scores_k11(spark, sf_dir):
     return _from_screening(spark, sf_dir, lambda cube, p, n: trees.random_forest(cube, SCREENING, p, n, k_min=K))
 
@@ -243,7 +244,18 @@ def screening_lr_scores(spark, sf_dir):
     return _from_screening(spark, sf_dir, lambda cube, p, n: linear.Logistic.fit(cube, SCREENING, p, n, reference=REFERENCE))
 
 
-@q.query()
+_BN_TEST = " UNION ALL ".join(f"SELECT c_custkey, '{f}' AS feature, {_state_sql(f)} AS parent_state, {f} AS value FROM test" for f in SCREENING.features)
+_BN_EVERY = " UNION ALL ".join(
+    f"SELECT d.feature, {'p.feature || chr(61) || p.value' if SCREENING.parents.get(f) else chr(39) * 2} AS parent_state, d.value FROM dom d " + (f"JOIN dom p ON p.feature = '{SCREENING.parents[f][0]}' " if SCREENING.parents.get(f) else "") + f"WHERE d.feature = '{f}'"
+    for f in SCREENING.features
+)
+
+
+@q.query(f"""WITH {_sql(K)}, found AS (SELECT feature, parent_state, value, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM ({_BN_CELLS}) GROUP BY 1, 2, 3),
+cells AS (SELECT e.feature, e.parent_state, e.value, coalesce({_K('p', K)}, 0) AS a, coalesce({_K('n', K)}, 0) AS b FROM ({_BN_EVERY}) e LEFT JOIN found f ON f.feature = e.feature AND f.parent_state = e.parent_state AND f.value = e.value),
+pr AS (SELECT feature, parent_state, value, ln((a + 1.0::DOUBLE) / (sum(a) OVER w + count(*) OVER w)) AS la, ln((b + 1.0::DOUBLE) / (sum(b) OVER w + count(*) OVER w)) AS lb FROM cells WINDOW w AS (PARTITION BY feature, parent_state)),
+bl AS (SELECT x.c_custkey, ln(max(t.p) / max(t.p + t.n)::DOUBLE + 1e-12) + sum(la) AS a, ln(max(t.n) / max(t.p + t.n)::DOUBLE + 1e-12) + sum(lb) AS b FROM ({_BN_TEST}) x JOIN pr ON pr.feature = x.feature AND pr.parent_state = x.parent_state AND pr.value = x.value CROSS JOIN tot t GROUP BY 1)
+SELECT c_custkey, {q._R('1 / (1 + exp(b - a))')} AS risk, CAST(1 / (1 + exp(b - a)) >= 0.5 AS INTEGER) AS pred FROM bl""")
 def screening_bn_scores_k11(spark, sf_dir):
     view = patients(spark, sf_dir)
     p, n = counts.base_rates(fitted(view)).first()
@@ -251,7 +263,14 @@ def screening_bn_scores_k11(spark, sf_dir):
     return q.rounded(naive_bayes.BayesNet.fit(cells, SCREENING, p, n).transform(held_out(view)).select("c_custkey", "risk", "pred"))
 
 
-@q.query()
+_HIST_SQL = f"""WITH {_sql(K)}, prior AS (SELECT p / (p + n)::DOUBLE AS r FROM tot), hb AS (SELECT feature, value, n_pos + n_neg AS support, (n_pos + 1) / (n_pos + n_neg + 2)::DOUBLE AS bucket_risk FROM marg),
+hw AS (SELECT hb.feature, 1 + sum(support / s.n::DOUBLE * abs(bucket_risk - (SELECT r FROM prior))) AS weight FROM hb JOIN (SELECT feature, sum(support) AS n FROM hb GROUP BY 1) s ON s.feature = hb.feature GROUP BY hb.feature),
+hx AS (UNPIVOT (SELECT c_custkey, {_TALL} FROM test) ON {_TALL} INTO NAME feature VALUE value),
+hs AS (SELECT c_custkey, sum(weight * coalesce(bucket_risk, (SELECT r FROM prior))) / sum(weight) AS risk FROM hx JOIN hw ON hw.feature = hx.feature LEFT JOIN hb ON hb.feature = hx.feature AND hb.value = hx.value GROUP BY 1)
+SELECT c_custkey, {q._R('risk')} AS risk, CAST(risk >= (SELECT r FROM prior) AS INTEGER) AS pred FROM hs"""
+
+
+@q.query(_HIST_SQL)
 def screening_hist_scores_k11(spark, sf_dir):
     view = patients(spark, sf_dir)
     marginals, p, n = screening_counts(fitted(view), K)
