@@ -156,3 +156,68 @@ def discriminant(base: str, keys: list[str], columns: tuple[str, ...]) -> str:
         f"wt AS (SELECT *, {', '.join(f'{weight(k)} AS w{k}' for k in range(3))} FROM pl) "
         f"SELECT {', '.join(f'x.{k}' for k in keys)}, {RISK_PRED.format(risk=risk, threshold=0.5)} FROM test x CROSS JOIN wt"
     )
+
+
+# ---- linear models
+
+
+def _solved(name: str, matrix: str, size: int) -> str:
+    """name(i, v): the solution, by elimination on the diagonal, of the equations that matrix(i, j, v) holds, the right-hand side as column `size`."""
+    lists = f"SELECT list(r ORDER BY i) AS m FROM (SELECT i, list(v ORDER BY j) AS r FROM {matrix} GROUP BY i)"
+    step = "list_transform(m, lambda r, i: list_transform(r, lambda v, j: CASE WHEN i = k THEN v / m[k][k] ELSE v - r[k] * m[k][j] / m[k][k] END))"
+    return (
+        f"{name}_e(k, m) AS (SELECT 1::BIGINT, m FROM ({lists}) UNION ALL SELECT k + 1, {step} FROM {name}_e WHERE k <= {size}), "
+        f"{name} AS MATERIALIZED (SELECT unnest(range({size})) AS i, unnest(list_transform(m, lambda r: r[{size + 1}])) AS v FROM {name}_e WHERE k = {size + 1})"
+    )
+
+
+def _design(spec: DatasetSpec, index: list[tuple[str, str]]) -> str:
+    """cells(cid, n_pos, n_neg) and design(cid, i): the dummies that are one in a cell of the cube, the intercept being 0."""
+    names = _names(spec.features)
+    places = ", ".join(f"({f!r}, {v!r}, {i + 1})" for i, (f, v) in enumerate(index))
+    return (
+        f"{_cube(spec)}, cells AS MATERIALIZED (SELECT *, row_number() OVER () AS cid FROM cube), places AS (SELECT * FROM (VALUES {places}) AS t(feature, value, i)), "
+        f"design AS MATERIALIZED (SELECT cid, i FROM (UNPIVOT (SELECT cid, {names} FROM cells) ON {names} INTO NAME feature VALUE value) JOIN places USING (feature, value) UNION ALL SELECT cid, 0 FROM cells), "
+        f"grid AS (SELECT a.i, b.i AS j FROM range({len(index) + 1}) a(i) CROSS JOIN range({len(index) + 2}) b(i))"
+    )
+
+
+def _normal(name: str, source: str, weight: str, right: str, size: int, ridge: float) -> str:
+    """name(i, j, v): sums of weight over pairs of dummies and, as column `size`, of right; source has them by cell."""
+    return (
+        f"{name}_s AS (SELECT a.i, b.i AS j, sum({weight}) AS v FROM {source} s JOIN design a ON a.cid = s.cid JOIN design b ON b.cid = s.cid GROUP BY 1, 2 "
+        f"UNION ALL SELECT a.i, {size}, sum({right}) FROM {source} s JOIN design a ON a.cid = s.cid GROUP BY 1), "
+        f"{name} AS MATERIALIZED (SELECT g.i, g.j, coalesce(s.v, 0)::DOUBLE + CASE WHEN g.i = g.j THEN {ridge} ELSE 0 END AS v FROM grid g LEFT JOIN {name}_s s ON s.i = g.i AND s.j = g.j)"
+    )
+
+
+def linear(base: str, spec: DatasetSpec, keys: list[str], index: list[tuple[str, str]], ridge: float = 0.01, balanced: bool = False, newton: int = 0, use_sigmoid: bool = True) -> str:
+    """Least squares of the label on dummies, then so many Newton steps of the logistic likelihood. tot of the base has the class totals."""
+    size, own = len(index) + 1, "(s.n_pos * wp + s.n_neg * wn)"
+    weigh = "(p + n) / (2 * p)::DOUBLE AS wp, (p + n) / (2 * n)::DOUBLE AS wn" if balanced else "1::DOUBLE AS wp, 1::DOUBLE AS wn"
+    parts = [
+        _design(spec, index), f"weighed AS (SELECT c.*, {weigh} FROM cells c CROSS JOIN tot)",
+        _normal("g0", "weighed", f"CASE WHEN a.i = b.i OR a.i = 0 OR b.i = 0 THEN {own} ELSE (s.n_pos + s.n_neg) * (wp + wn) / 2 END", "s.n_pos * wp", size, ridge), _solved("beta0", "g0", size),
+    ]
+    for r in range(1, newton + 1):
+        z = f"SELECT c.cid, any_value(n_pos) AS n_pos, any_value(n_pos + n_neg) AS n, sum(b.v) AS z FROM cells c JOIN design d ON d.cid = c.cid JOIN beta{r - 1} b ON b.i = d.i GROUP BY c.cid"
+        parts += [
+            f"at{r} AS MATERIALIZED (SELECT *, 1 / (1 + exp(-z)) AS mu FROM ({z}))",
+            _normal(f"g{r}", f"at{r}", "s.n * mu * (1 - mu)", "s.n * mu * (1 - mu) * z + s.n_pos - s.n * mu", size, ridge), _solved(f"beta{r}", f"g{r}", size),
+        ]
+    names = _names(spec.features)
+    tall = f"(UNPIVOT (SELECT rid, {names} FROM numbered) ON {names} INTO NAME feature VALUE value)"
+    z = f"SELECT rid, sum(v) AS z FROM (SELECT rid, v FROM {tall} JOIN places USING (feature, value) JOIN beta{newton} b USING (i) UNION ALL SELECT rid, v FROM numbered CROSS JOIN beta{newton} b WHERE b.i = 0) GROUP BY rid"
+    risk = "(1 / (1 + exp(-z)))" if use_sigmoid else "greatest(0, least(1, z))"
+    return f"WITH RECURSIVE {base}, {', '.join(parts)} SELECT {', '.join(keys)}, {RISK_PRED.format(risk=risk, threshold=0.5)} FROM numbered JOIN ({z}) USING (rid)"
+
+
+def platt(base: str, points: str, steps: int = 15) -> str:
+    """(a, b) by Newton steps from (1, 0); points(s, p, n) has the positives and others at each score."""
+    parts = ["ab0 AS (SELECT 1::DOUBLE AS a, 0::DOUBLE AS b)"]
+    for r in range(steps):
+        at = f"SELECT s, p, p + n AS n, 1 / (1 + exp(-(a * s + b))) AS mu, a, b FROM {points} CROSS JOIN ab{r}"
+        sums = f"SELECT any_value(a) AS a, any_value(b) AS b, sum((n * mu - p) * s) AS u, sum(n * mu - p) AS v, sum(n * mu * (1 - mu) * s * s) + 1e-9 AS x, sum(n * mu * (1 - mu) * s) AS y, sum(n * mu * (1 - mu)) + 1e-9 AS w FROM ({at})"
+        clip = lambda e: f"greatest(-10, least(10, {e}))"
+        parts.append(f"ab{r + 1} AS MATERIALIZED (SELECT a - {clip('(u * w - v * y) / (x * w - y * y)')} AS a, b - {clip('(v * x - u * y) / (x * w - y * y)')} AS b FROM ({sums}))")
+    return f"WITH {base}, {', '.join(parts)} SELECT round(a, 4) + 0.0 AS a, round(b, 4) + 0.0 AS b FROM ab{steps}"

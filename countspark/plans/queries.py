@@ -508,12 +508,12 @@ def lr_xty(spark, sf_dir):
     return linear.sums(train_cube(spark, sf_dir), RISK, {"wy": F.col("n_pos")}).filter("fb is null").select("fa", "va", "wy")
 
 
-@query()
+@query(model_sql.linear(RISK_SQL, RISK, KEYS, linear.dummies(RISK), newton=8))
 def lr_scores(spark, sf_dir):
     return scores(_fit_and_score(spark, sf_dir, lambda c: linear.Logistic.fit(c, RISK, *totals(c)).refine(c)))
 
 
-@query()
+@query(model_sql.linear(RISK_SQL, RISK, KEYS, linear.dummies(RISK), balanced=True, use_sigmoid=False))
 def ols_scores(spark, sf_dir):
     with held(train_cube(spark, sf_dir)) as cube:
         model = linear.Logistic.fit(cube, RISK, *totals(cube), balanced=True)
@@ -576,7 +576,7 @@ def platt_apply(spark, sf_dir):
     return rounded(nb_scored(spark, sf_dir).select(*KEYS, apply_platt(F.col("risk"), 3.5, -1.25).alias("calibrated")))
 
 
-@query()
+@query(model_sql.platt(f"{NB_SQL}, {_CURVE}", "pts"))
 def platt_fit(spark, sf_dir):
     return rounded(spark.createDataFrame([linear.fit_platt(nb_scored(spark, sf_dir).select("y", F.round("risk", 9).alias("risk")))], "a double, b double"), 4)
 

@@ -239,7 +239,7 @@ def screening_forest_scores_k11(spark, sf_dir):
     return _from_screening(spark, sf_dir, lambda cube, p, n: trees.random_forest(cube, SCREENING, p, n, k_min=K))
 
 
-@q.query()
+@q.query(model_sql.linear(_sql(0), SCREENING, ["c_custkey"], linear.dummies(SCREENING, REFERENCE)))
 def screening_lr_scores(spark, sf_dir):
     return _from_screening(spark, sf_dir, lambda cube, p, n: linear.Logistic.fit(cube, SCREENING, p, n, reference=REFERENCE))
 
