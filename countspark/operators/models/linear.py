@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from countspark.functions.math import apply_platt, clipped, sigmoid
 from countspark.operators.models.scoring import attach
+from countspark.operators.suppress import midpoint
 from countspark.plans.spec import DatasetSpec
 
 
@@ -34,29 +35,29 @@ def sums(cube: DataFrame, spec: DatasetSpec, measures: dict[str, Column]) -> Dat
     return found.withColumn("names", names).select(at(0)["f"].alias("fa"), at(0)["v"].alias("va"), at(1)["f"].alias("fb"), at(1)["v"].alias("vb"), *measures)
 
 
-def gram(rows: list, index: list[tuple[str, str]], pair: str = "w", single: str | None = None) -> np.ndarray:
-    """The matrix of a design with an intercept and the given dummies, from collected sums()."""
+def gram(rows: list[dict], index: list[tuple[str, str]]) -> np.ndarray:
+    """The matrix of a design with an intercept and the given dummies, from weights w of all rows, of values a and of pairs a, b."""
     at = {k: i + 1 for i, k in enumerate(index)}
     out = np.zeros((len(index) + 1, len(index) + 1))
     for r in rows:
-        a, b = at.get((r["fa"], r["va"])), at.get((r["fb"], r["vb"]))
-        if r["fa"] is None:
-            out[0, 0] = r[single or pair]
-        elif r["fb"] is None and a:
-            out[0, a] = out[a, 0] = out[a, a] = r[single or pair]
-        elif r["fb"] is not None and a and b:
-            out[a, b] = out[b, a] = r[pair]
+        a, b = at.get(r["a"]), at.get(r["b"])
+        if r["a"][0] is None:
+            out[0, 0] = r["w"]
+        elif r["b"][0] is None and a:
+            out[0, a] = out[a, 0] = out[a, a] = r["w"]
+        elif r["b"][0] is not None and a and b:
+            out[a, b] = out[b, a] = r["w"]
     return out
 
 
-def moment(rows: list, index: list[tuple[str, str]], name: str) -> np.ndarray:
+def moment(rows: list[dict], index: list[tuple[str, str]]) -> np.ndarray:
     at = {k: i + 1 for i, k in enumerate(index)}
     out = np.zeros(len(index) + 1)
     for r in rows:
-        if r["fa"] is None:
-            out[0] = r[name]
-        elif r["fb"] is None and (a := at.get((r["fa"], r["va"]))):
-            out[a] = r[name]
+        if r["a"][0] is None:
+            out[0] = r["wy"]
+        elif r["b"][0] is None and (a := at.get(r["a"])):
+            out[a] = r["wy"]
     return out
 
 
@@ -69,19 +70,31 @@ class Logistic:
     threshold: float = 0.5
 
     @classmethod
-    def fit(cls, cube: DataFrame, spec: DatasetSpec, n_pos: int, n_neg: int, ridge: float = 0.01, balanced: bool = False, exact_weights: bool = False, reference: dict[str, str] | None = None, threshold: float = 0.5) -> Logistic:
+    def fit(cls, cube: DataFrame, spec: DatasetSpec, n_pos: int, n_neg: int, ridge: float = 0.01, balanced: bool = False, exact_weights: bool = False, reference: dict[str, str] | None = None, threshold: float = 0.5, k_min: int = 0) -> Logistic:
         """Weighted least squares of the label. balanced: both classes weigh the same in total.
 
-        Pairs of features weigh by the mean of the class weights unless exact_weights asks for their own.
+        Pairs of features weigh by the mean of the class weights unless exact_weights asks for their own. k_min: counts are
+        suppressed before the fit, those of values to the midpoint, those of pairs to what independence would give.
         """
         total = n_pos + n_neg
         wp, wn = (total / (2 * n_pos), total / (2 * n_neg)) if balanced and n_pos and n_neg else (1.0, 1.0)
-        own = F.col("n_pos") * F.lit(wp) + F.col("n_neg") * F.lit(wn)
-        mean = (F.col("n_pos") + F.col("n_neg")) * F.lit((wp + wn) / 2)
-        rows = sums(cube, spec, {"w": own if exact_weights else mean, "single": own, "wy": F.col("n_pos") * F.lit(wp)}).collect()  # bounded by the domains
+        found = sums(cube, spec, {"n_pos": F.col("n_pos"), "n_neg": F.col("n_neg")}).collect()  # bounded by the domains
+        small = lambda c: 0 < c < k_min
+        shown = lambda c: midpoint(k_min) if small(c) else c
+        marginal = {(r["fa"], r["va"]): (shown(r["n_pos"]), shown(r["n_neg"])) for r in found if r["fa"] is not None and r["fb"] is None}
+        rows = []
+        for r in found:
+            a, b, p, n = (r["fa"], r["va"]), (r["fb"], r["vb"]), r["n_pos"], r["n_neg"]
+            if a[0] is None or b[0] is None:
+                p, n = marginal.get(a, (p, n))
+                rows.append({"a": a, "b": b, "w": wp * p + wn * n, "wy": wp * p})
+            elif small(p + n):
+                rows.append({"a": a, "b": b, "w": sum(marginal[a]) * sum(marginal[b]) / total * (wp + wn) / 2})
+            else:
+                rows.append({"a": a, "b": b, "w": wp * p + wn * n if exact_weights else (p + n) * (wp + wn) / 2})
         index = dummies(spec, reference)
-        left = gram(rows, index, "w", "single") + ridge * np.eye(len(index) + 1)
-        beta, *_ = np.linalg.lstsq(left, moment(rows, index, "wy"), rcond=None)
+        left = gram(rows, index) + ridge * np.eye(len(index) + 1)
+        beta, *_ = np.linalg.lstsq(left, moment(rows, index), rcond=None)
         return cls(spec, index, beta, ridge, threshold)
 
     def linear(self, df: DataFrame, name: str = "_z") -> DataFrame:

@@ -191,13 +191,27 @@ def _normal(name: str, source: str, weight: str, right: str, size: int, ridge: f
     )
 
 
-def linear(base: str, spec: DatasetSpec, keys: list[str], index: list[tuple[str, str]], ridge: float = 0.01, balanced: bool = False, newton: int = 0, use_sigmoid: bool = True) -> str:
+def _suppressed_normal(name: str, size: int, ridge: float, k: int, middle: int) -> str:
+    """As _normal() with weight 1, from counts of values below k as the midpoint and of pairs as independence gives them."""
+    shown = lambda c: f"CASE WHEN i > 0 AND {c} BETWEEN 1 AND {k - 1} THEN {middle} ELSE {c} END"
+    return (
+        f"{name}_r AS (SELECT a.i, b.i AS j, sum(n_pos) AS p, sum(n_neg) AS n FROM cells s JOIN design a ON a.cid = s.cid JOIN design b ON b.cid = s.cid GROUP BY 1, 2), "
+        f"{name}_o AS (SELECT i, {shown('p')} AS p, {shown('n')} AS n FROM {name}_r WHERE i = j), "
+        f"{name}_s AS (SELECT r.i, r.j, CASE WHEN r.i = r.j OR r.i = 0 OR r.j = 0 THEN CASE WHEN r.i = 0 THEN b.p + b.n ELSE a.p + a.n END "
+        f"WHEN r.p + r.n < {k} THEN (a.p + a.n) * (b.p + b.n) / (t.p + t.n)::DOUBLE ELSE r.p + r.n END AS v FROM {name}_r r JOIN {name}_o a ON a.i = r.i JOIN {name}_o b ON b.i = r.j CROSS JOIN tot t "
+        f"UNION ALL SELECT i, {size}, p FROM {name}_o), "
+        f"{name} AS MATERIALIZED (SELECT g.i, g.j, coalesce(s.v, 0)::DOUBLE + CASE WHEN g.i = g.j THEN {ridge} ELSE 0 END AS v FROM grid g LEFT JOIN {name}_s s ON s.i = g.i AND s.j = g.j)"
+    )
+
+
+def linear(base: str, spec: DatasetSpec, keys: list[str], index: list[tuple[str, str]], ridge: float = 0.01, balanced: bool = False, newton: int = 0, use_sigmoid: bool = True, k: int = 0, middle: int = 0) -> str:
     """Least squares of the label on dummies, then so many Newton steps of the logistic likelihood. tot of the base has the class totals."""
     size, own = len(index) + 1, "(s.n_pos * wp + s.n_neg * wn)"
     weigh = "(p + n) / (2 * p)::DOUBLE AS wp, (p + n) / (2 * n)::DOUBLE AS wn" if balanced else "1::DOUBLE AS wp, 1::DOUBLE AS wn"
+    plain = _normal("g0", "weighed", f"CASE WHEN a.i = b.i OR a.i = 0 OR b.i = 0 THEN {own} ELSE (s.n_pos + s.n_neg) * (wp + wn) / 2 END", "s.n_pos * wp", size, ridge)
     parts = [
         _design(spec, index), f"weighed AS (SELECT c.*, {weigh} FROM cells c CROSS JOIN tot)",
-        _normal("g0", "weighed", f"CASE WHEN a.i = b.i OR a.i = 0 OR b.i = 0 THEN {own} ELSE (s.n_pos + s.n_neg) * (wp + wn) / 2 END", "s.n_pos * wp", size, ridge), _solved("beta0", "g0", size),
+        _suppressed_normal("g0", size, ridge, k, middle) if k > 1 else plain, _solved("beta0", "g0", size),
     ]
     for r in range(1, newton + 1):
         z = f"SELECT c.cid, any_value(n_pos) AS n_pos, any_value(n_pos + n_neg) AS n, sum(b.v) AS z FROM cells c JOIN design d ON d.cid = c.cid JOIN beta{r - 1} b ON b.i = d.i GROUP BY c.cid"

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countspark.functions import clinical
+from countspark.functions.math import recalibrate
 from countspark.operators import counts, metrics, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
 from countspark.plans import model_sql
@@ -244,6 +245,54 @@ def screening_lr_scores(spark, sf_dir):
     return _from_screening(spark, sf_dir, lambda cube, p, n: linear.Logistic.fit(cube, SCREENING, p, n, reference=REFERENCE))
 
 
+def _linear_sql(k: int) -> str:
+    return model_sql.linear(_sql(0), SCREENING, ["c_custkey"], linear.dummies(SCREENING, REFERENCE), k=k, middle=suppress.midpoint(K))
+
+
+@q.query(_linear_sql(K))
+def screening_lr_scores_k11(spark, sf_dir):
+    return _from_screening(spark, sf_dir, lambda cube, p, n: linear.Logistic.fit(cube, SCREENING, p, n, reference=REFERENCE, k_min=K))
+
+
+def _evaluated_sql(model: str, k: int, scored: str) -> str:
+    cohort = f"(SELECT avg(y) FROM ({_FEATURES_SQL}) WHERE c_custkey % 5 <> 0)"
+    odds = f"(s.risk / (1 - s.risk) * ({POPULATION_RATE} / {cohort}) * ((1 - {cohort}) / {1 - POPULATION_RATE}))"
+    risk = "s.risk" if model == "naive_bayes" else f"CASE WHEN s.risk <= 0 THEN 0 WHEN s.risk >= 1 THEN 1 ELSE {odds} / (1 + {odds}) END"
+    rows = f"(SELECT {risk} AS risk, x.y FROM ({scored}) s JOIN ({_FEATURES_SQL}) x USING (c_custkey))"
+    return f"SELECT '{model}' AS model, {k} AS k, * FROM ({q.confusion_sql(rows, f'risk >= {REFER_AT}')})"
+
+
+_COMPARED = " UNION ALL ".join(
+    _evaluated_sql(model, k, sql)
+    for k in (0, K)
+    for model, sql in (
+        ("naive_bayes", f"{_nb_sql(k)} SELECT c_custkey, {q._R('risk')} AS risk FROM nb"),
+        ("tree", model_sql.forest(_sql(0), SCREENING, ["c_custkey"], [SCREENING.features], k_min=k)),
+        ("linear", _linear_sql(k)),
+    )
+)
+
+
+@q.query(_COMPARED)
+def screening_comparison(spark, sf_dir):
+    """The referrals of three models with and without suppression, in one pass over the held-out rows; all but naive Bayes are moved to the population's rate."""
+    view = patients(spark, sf_dir)
+    models = {("naive_bayes", k): screening_nb(fitted(view), k) for k in (0, K)}
+    with q.held(counts.cube(fitted(view), SCREENING)) as cube:
+        p, n = q.totals(cube)
+        for k in (0, K):
+            models["tree", k] = trees.decision_tree(cube, SCREENING, p, n, k_min=k)
+            models["linear", k] = linear.Logistic.fit(cube, SCREENING, p, n, reference=REFERENCE, k_min=k)
+    scored, each = held_out(view).select("y", *SCREENING.features), []
+    for (model, k), m in models.items():
+        risk = F.round("risk", 6)
+        shifted = risk if model == "naive_bayes" else recalibrate(risk, p / (p + n), POPULATION_RATE)
+        scored = m.transform(scored).withColumn(f"{model}_{k}", shifted).drop("risk", "pred", "log_pos", "log_neg")
+        each.append(F.struct(F.lit(model).alias("model"), F.lit(k).alias("k"), F.col(f"{model}_{k}").alias("risk")))
+    long = scored.select("y", F.explode(F.array(*each)).alias("m")).select("y", "m.*")
+    return q.rounded(metrics.confusion(long, (F.col("risk") >= REFER_AT).cast("int"), by=["model", "k"]))
+
+
 _BN_TEST = " UNION ALL ".join(f"SELECT c_custkey, '{f}' AS feature, {_state_sql(f)} AS parent_state, {f} AS value FROM test" for f in SCREENING.features)
 _BN_EVERY = " UNION ALL ".join(
     f"SELECT d.feature, {'p.feature || chr(61) || p.value' if SCREENING.parents.get(f) else chr(39) * 2} AS parent_state, d.value FROM dom d " + (f"JOIN dom p ON p.feature = '{SCREENING.parents[f][0]}' " if SCREENING.parents.get(f) else "") + f"WHERE d.feature = '{f}'"
