@@ -235,3 +235,28 @@ def platt(base: str, points: str, steps: int = 15) -> str:
         clip = lambda e: f"greatest(-10, least(10, {e}))"
         parts.append(f"ab{r + 1} AS MATERIALIZED (SELECT a - {clip('(u * w - v * y) / (x * w - y * y)')} AS a, b - {clip('(v * x - u * y) / (x * w - y * y)')} AS b FROM ({sums}))")
     return f"WITH {base}, {', '.join(parts)} SELECT round(a, 4) + 0.0 AS a, round(b, 4) + 0.0 AS b FROM ab{steps}"
+
+
+def principal_components(table: str, columns: list[str], steps: int = 200) -> str:
+    """Three columns: two by power iteration, the second on what the first leaves, the third at a right angle to both."""
+    at = lambda i, j: f"a{min(i, j)}{max(i, j)}"
+    pairs = [(i, j) for i in range(3) for j in range(i, 3)]
+    dot = lambda i: " + ".join(f"{at(i, j)} * v{j}" for j in range(3))
+    norm = "sqrt(n0 * n0 + n1 * n1 + n2 * n2)"
+
+    def largest(name: str, matrix: str) -> str:
+        turned = f"SELECT k, {', '.join(f'{dot(i)} AS n{i}' for i in range(3))} FROM {name}_p CROSS JOIN {matrix} WHERE k < {steps}"
+        value = " + ".join(f"v{i} * ({dot(i)})" for i in range(3))
+        return (
+            f"{name}_p(k, v0, v1, v2) AS (SELECT 0, 1::DOUBLE, 1::DOUBLE, 1::DOUBLE UNION ALL SELECT k + 1, {', '.join(f'n{i} / {norm}' for i in range(3))} FROM ({turned})), "
+            f"{name} AS MATERIALIZED (SELECT v0, v1, v2, {value} AS l FROM {name}_p CROSS JOIN {matrix} WHERE k = {steps})"
+        )
+
+    cross = ", ".join(f"a.v{i} * b.v{j} - a.v{j} * b.v{i}" for i, j in ((1, 2), (2, 0), (0, 1)))
+    sign = "CASE WHEN abs(v0) > 1e-12 THEN sign(v0) WHEN abs(v1) > 1e-12 THEN sign(v1) ELSE sign(v2) END"
+    return (
+        f"WITH RECURSIVE m AS MATERIALIZED (SELECT {', '.join(f'covar_pop({columns[i]}, {columns[j]}) AS {at(i, j)}' for i, j in pairs)} FROM {table}), {largest('c1', 'm')}, "
+        f"rest AS MATERIALIZED (SELECT {', '.join(f'{at(i, j)} - l * v{i} * v{j} AS {at(i, j)}' for i, j in pairs)} FROM m CROSS JOIN c1), {largest('c2', 'rest')}, "
+        f"every(component, l, v0, v1, v2) AS (SELECT 0, l, v0, v1, v2 FROM c1 UNION ALL SELECT 1, l, v0, v1, v2 FROM c2 UNION ALL SELECT 2, m.a00 + m.a11 + m.a22 - a.l - b.l, {cross} FROM m CROSS JOIN c1 a CROSS JOIN c2 b) "
+        f"SELECT CAST(component AS INTEGER) AS component, round(l, 4) + 0.0 AS variance, {', '.join(f'round(v{i} * {sign}, 4) + 0.0 AS w{i}' for i in range(3))} FROM every"
+    )

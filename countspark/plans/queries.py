@@ -706,7 +706,7 @@ def discriminant_scores(spark, sf_dir):
     return scores(analysis.Discriminant.fit(train_of(view), list(RISK.numeric)).transform(test_of(view)))
 
 
-@query()
+@query(model_sql.principal_components("lineitem", ["l_quantity", "l_discount", "l_tax"]))
 def principal_components(spark, sf_dir):
     values, parts = analysis.principal_components(read(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"], 3)
     return rounded(spark.createDataFrame([(i, float(v), *map(float, p)) for i, (v, p) in enumerate(zip(values, parts))], "component int, variance double, w0 double, w1 double, w2 double"), 4)
@@ -755,6 +755,18 @@ def validate_records(spark, sf_dir):
     return records.violations(datagen.fraud(spark, 5_000), records.FRAUD, records.FRAUD_BOUNDS)
 
 
+_LINE_BOUNDS = {"l_quantity": (1, 40), "l_discount": (0, 0.05), "l_tax": (0, 1)}
+
+
+@query(" UNION ALL ".join(
+    f"SELECT '{c}' AS field, count(*) FILTER (WHERE {c} IS NULL) AS n_missing, " + (f"count(*) FILTER (WHERE NOT ({c} BETWEEN {_LINE_BOUNDS[c][0]} AND {_LINE_BOUNDS[c][1]}))" if c in _LINE_BOUNDS else "0::BIGINT") + " AS n_out_of_bounds FROM lineitem"
+    for c in ("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+))
+def validate_lines(spark, sf_dir):
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_discount", "l_tax", "l_returnflag")
+    return records.violations(lines, lines.schema, _LINE_BOUNDS)
+
+
 @query("SELECT o_orderpriority, count(*) AS n, " + _R("avg(CAST(o_orderstatus = 'F' AS DOUBLE))") + " AS share_pos FROM orders GROUP BY 1")
 def batch_distribution(spark, sf_dir):
     df = read(spark, sf_dir, "orders").withColumn("done", F.col("o_orderstatus") == "F")
@@ -828,6 +840,20 @@ def decisions(spark, sf_dir):
     return report.decisions(rounded(nb_scored(spark, sf_dir).select(*KEYS, "risk")), KEYS, order=[*KEYS, "risk"])
 
 
+@query(f"""WITH {_HIST_SQL}, hv AS (SELECT x.l_orderkey, x.l_linenumber, x.y, ("""
+    + " + ".join(f"w{i}.weight * h{i}.bucket_risk" for i in range(len(FEATURES))) + ") / (" + " + ".join(f"w{i}.weight" for i in range(len(FEATURES))) + ") AS risk FROM test x "
+    + " ".join(f"JOIN hb h{i} ON h{i}.feature = '{f}' AND h{i}.value = x.\"{f}\" JOIN hw w{i} ON w{i}.feature = '{f}'" for i, f in enumerate(FEATURES))
+    + "), one AS (SELECT l_orderkey, l_linenumber, y, CAST(risk >= (SELECT r FROM prior) AS INTEGER) AS a, CAST(risk >= 0.5 AS INTEGER) AS b FROM hv QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1) "
+    + f"SELECT count(*) AS n, {_R('avg((a = b)::INTEGER)')} AS agreement, {_R('avg((a = y)::INTEGER)')} AS accuracy_a, {_R('avg((b = y)::INTEGER)')} AS accuracy_b FROM one")
+def model_validation(spark, sf_dir):
+    """Two cuts of one model on the rows that their keys identify."""
+    with held(train_cube(spark, sf_dir)) as cube:
+        model = histogram.HistogramClassifier.fit(counts.marginals_of_cube(cube, RISK), RISK, *totals(cube))
+    scored = model.transform(test_of(risk_view(spark, sf_dir))).select(*KEYS, "y", "risk", "pred")
+    single = scored.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("y", "risk", "pred")]).filter("n = 1")
+    return rounded(report.validation(single, single.withColumn("pred", (F.col("risk") >= 0.5).cast("int")), KEYS))
+
+
 def queries() -> dict[str, Query]:
     from countspark.plans import screening  # noqa: F401  (registers its queries)
 
