@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countspark.llm import bpe, edit_embedding, embeddings, packing, pii, quotes, sharding, simhash, token_counts, toxicity
+from countspark.llm import bpe, edit_embedding, embeddings, fim, importance, packing, pii, quotes, sharding, simhash, token_counts, toxicity
 from countspark.llm.common import table
 
 
@@ -127,6 +127,41 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said["base"], 256).alias("base_sha256"), said["spans"].alias("spans"))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
+    digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+OP12_SQL = r"""
+WITH read AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS tokens,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents
+), drawn AS (
+  SELECT *, CAST(len(tokens) AS BIGINT) AS n, CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (len(tokens) + 1) AS a,
+         CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (len(tokens) + 1) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+              WHEN CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM read
+), cut AS (
+  SELECT doc_id, n, form, text, array_to_string(tokens[:least(a, b)], '') AS prefix,
+         array_to_string(tokens[least(a, b) + 1 : greatest(a, b)], '') AS middle, array_to_string(tokens[greatest(a, b) + 1 :], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+                        ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(CASE form WHEN 'plain' THEN text ELSE prefix || middle || suffix END) AS restored_sha256
+FROM cut
+"""
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -145,9 +180,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_pii": op10_pii,
+        "op12_fim": op12_fim,
+        "op13_importance": op13_importance,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_quotes": OP4_SQL}
+    return {"op4_quotes": OP4_SQL, "op12_fim": OP12_SQL}
