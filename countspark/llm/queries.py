@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from countspark.llm import bpe, edit_embedding, embeddings, fim, importance, packing, pii, quotes, sharding, simhash, token_counts, toxicity
+from countspark.llm import bpe, edit_embedding, embeddings, fim, importance, packing, pii, quotes, sharding, simhash, token_counts, toxicity, wrapper
 from countspark.llm.common import table
 
 
@@ -127,6 +127,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(said["base"], 256).alias("base_sha256"), said["spans"].alias("spans"))
 
 
+def op11_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fim.restore(fim.transform(table(spark, sf_dir, "documents")))
     digests = [F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256") for c in ("output", "restored")]
@@ -180,6 +184,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_simhash": op8_simhash,
         "op9_token_counts": op9_token_counts,
         "op10_pii": op10_pii,
+        "op11_wrapper": op11_wrapper,
         "op12_fim": op12_fim,
         "op13_importance": op13_importance,
         "pipeline": pipeline,
