@@ -16,10 +16,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countspark.llm.common import blocked, components, materialise, ship
+from countspark.llm.common import blocked, components, drop, materialise, ship
 from countspark.llm.simhash import chunked, local_roots
 
 SAMPLES = 128  # of one byte each
@@ -93,48 +93,58 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {kind}, fingerprint binary").withColumnRenamed("id", id_col)
 
 
-def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
-    """(id, fingerprint hex, component_id): components of texts whose fingerprints agree in a share of `least` at least.
+def linked(alike: DataFrame, least: float = 0.8, block: int = 2048) -> DataFrame:
+    """Edges (a, b) that connect the rows (fingerprint), which are distinct, that agree in a share of `least` at least.
 
     Pairs are candidates if they agree in all samples of a band. There is one band more than samples in which a pair may
-    differ, so no pair is lost. A row without an id gets its fingerprint's component.
+    differ, so no pair is lost.
     """
-    by_doc = materialise(fingerprints(docs, id_col, text_col))
-    alike = materialise(by_doc.groupBy("fingerprint").agg(F.min(id_col).alias("first_id")))
+    ship(alike.sparkSession)
     n = int(SAMPLES * (1 - least) + 1e-6) + 1
     bounds = [SAMPLES * k // n for k in range(n + 1)]
     band = F.posexplode(F.array(*[F.xxhash64(F.substring("fingerprint", 1 + s, e - s)) for s, e in zip(bounds, bounds[1:])])).alias("band", "key")
-    dealt = alike.filter("first_id is not null").select("fingerprint", "first_id", band)
     keys = ["band", "key", "i", "j"]
+    shared = materialise(alike.select(band).groupBy("band", "key").count().filter("count > 1").select("band", "key"))
+    dealt = alike.select("fingerprint", band).join(shared, ["band", "key"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunked(batches, keys, block):
-            bits = np.frombuffer(b"".join(rows["fingerprint"].to_pylist()), np.uint8).reshape(-1, SAMPLES)
-            ids = rows["first_id"].to_numpy()
-            group = np.zeros(len(ids), bool)
-            for k in keys:
-                v = rows[k].to_numpy()
-                group[1:] |= v[1:] != v[:-1]
-            starts = np.append(np.flatnonzero(np.append(True, group[1:])), len(ids))
+            names = rows["fingerprint"].combine_chunks()
+            bits = np.frombuffer(b"".join(names.to_pylist()), np.uint8).reshape(-1, SAMPLES)
+            begins = np.ones(len(bits), bool)
+            begins[1:] = np.any([rows[k].to_numpy()[1:] != rows[k].to_numpy()[:-1] for k in keys], 0)
+            starts = np.append(np.flatnonzero(begins), len(bits))
             for s, e in zip(starts[:-1], starts[1:]):
-                if e - s < 2:
-                    continue
                 label = np.arange(e - s)
-                for q in range(s, e, 256):
+                for q in range(s, e if e - s > 1 else s, 256):
                     part = bits[q : min(q + 256, e)]
-                    same = np.stack([(part[i] == bits[s:e]).mean(1) for i in range(len(part))])
+                    same = np.stack([(row == bits[s:e]).mean(1) for row in part])
                     a, b = np.nonzero(same >= least)
                     label = local_roots(e - s, a + q - s, b, label)
                 moved = np.flatnonzero(label != np.arange(e - s))
                 if len(moved):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[s:e][moved]), pa.array(ids[s:e][label[moved]])], names=["a", "b"])
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(s + moved)), names.take(pa.array(s + label[moved]))], names=["a", "b"])
 
-    tasks = blocked(dealt, ["band", "key"], "first_id", block)
-    ship(docs.sparkSession)
-    edges = tasks.repartition(*keys).sortWithinPartitions(*keys, "first_id").select("fingerprint", "first_id", *keys).mapInArrow(run, "a long, b long")
-    roots = components(edges).withColumnRenamed("node", "first_id")
-    named = materialise(alike.join(roots, "first_id", "left").select("fingerprint", F.coalesce("component", "first_id").alias("component_id")))
-    return by_doc.join(named, "fingerprint").select(id_col, F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
+    tasks = blocked(dealt, ["band", "key"], "fingerprint", block)
+    return tasks.repartition(*keys).sortWithinPartitions(*keys, "fingerprint").select("fingerprint", *keys).mapInArrow(run, "a binary, b binary")
+
+
+def near_duplicates(docs: DataFrame, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text", block: int = 2048) -> DataFrame:
+    """(id, fingerprint hex, component_id): components of texts whose fingerprints agree in a share of `least` at least.
+
+    Fingerprints link, whatever ids their rows have: rows that share an id may be in different components, and a row without one
+    links like any other and gets the smallest id of its component, or null where there is none. Ids may be of any type with an order; null
+    and empty texts are alike. Very long texts cost time by their length; an empty table gives no row; other columns, whatever their names, are not read.
+    """
+    by_doc = materialise(fingerprints(docs, id_col, text_col).withColumnRenamed(id_col, "id"))
+    alike = materialise(by_doc.groupBy("fingerprint").agg(F.min("id").alias("first_id")))
+    edges = materialise(linked(alike.select("fingerprint"), least, block))
+    roots = components(edges).withColumnRenamed("node", "fingerprint")
+    rooted = materialise(alike.join(roots, "fingerprint", "left").select("fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("root")))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = materialise(rooted.join(smallest, "root").select("fingerprint", "component_id"))
+    drop(alike, edges, rooted)
+    return by_doc.join(named, "fingerprint").select(F.col("id").alias(id_col), F.lower(F.hex("fingerprint")).alias("fingerprint"), "component_id")
 
 
 class _Walked:
@@ -165,10 +175,11 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
     The edited text has its last third replaced by as much of the next document's beginning, in descending order of id (ties
-    by text, null ids last), the first document following the last. Likeness is the share of equal samples. A null text counts as empty.
+    by the MD5 of the text, null ids last), the first document following the last. Likeness is the share of equal samples. A null text counts as empty.
 
-    Documents are sorted over ranges of ids, and each range is read as a stream; only its first and last document, of which
-    there are as many as partitions, are kept with their texts, to meet their neighbours in other ranges.
+    Documents are sorted over ranges of id, digest and, for rows that share both, a number dealt out in turn, so that no id is more than one
+    task's. Each range is read as a stream; only its first and last document, of which there are as many as partitions, are kept with their
+    texts, and each last one meets the first one of the next range by number.
     """
     ship(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -206,12 +217,19 @@ def against_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             rows = [_Walked(r["id"], r["text"]).against(_Walked(None, r["next"])) for r in batch.to_pylist()]
             yield batch_of(rows, [], batch.schema.field("id").type).select(COLUMNS)
 
-    order = [F.col("id").desc_nulls_last(), F.col("text").asc()]
-    dealt = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).repartitionByRange(order[0])
-    done = materialise(dealt.sortWithinPartitions(*order).mapInArrow(run, schema + ", `end` int, text string, nth long"))
+    order = [F.col("id").desc_nulls_last(), F.col("digest").asc()]
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 20))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), turn.alias("turn"))
+    dealt = rows.repartitionByRange(*order, "turn").drop("turn")
+    done = materialise(dealt.sortWithinPartitions(*order).drop("digest").mapInArrow(run, schema + ", `end` int, text string, nth long"))
     ends = done.filter("`end` is not null").select("id", "end", "text", "nth")
-    ring = Window.partitionBy(F.lit(0)).orderBy("nth", "end")
-    following = F.coalesce(F.lead("text").over(ring), F.first("text").over(ring.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    tails = ends.withColumn("next", following).filter("`end` = 1").select("id", "text", "next")
-    joined = tails.mapInArrow(join_ends, schema)
-    return done.filter("`end` is null").select(*COLUMNS).union(joined).withColumnRenamed("id", id_col)
+    full = sorted(r["nth"] for r in ends.filter("`end` = 1").select("nth").collect())  # one number a partition
+    tails = ends.filter("`end` = 1").select("id", "text", "nth")
+    if full:
+        after = F.create_map(*[F.lit(x) for pair in zip(full, full[1:] + full[:1]) for x in pair])
+        heads = ends.filter("`end` = 0").select(F.col("text").alias("next"), F.col("nth").alias("following"))
+        tails = tails.withColumn("following", after[F.col("nth")]).join(heads, "following").select("id", "text", "next")
+        joined = tails.mapInArrow(join_ends, schema)
+        return done.filter("`end` is null").select(*COLUMNS).union(joined).withColumnRenamed("id", id_col)
+    return done.select(*COLUMNS).withColumnRenamed("id", id_col)

@@ -110,6 +110,11 @@ def op7_edit_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_embedding.against_edits(table(spark, sf_dir, "documents"))
 
 
+def edit_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7's banding and verification: (doc_id, fingerprint, component_id)."""
+    return edit_embedding.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -187,6 +192,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op11_wrapper": op11_wrapper,
         "op12_fim": op12_fim,
         "op13_importance": op13_importance,
+        "edit_duplicates": edit_duplicates,
         "pipeline": pipeline,
     }
 

@@ -15,7 +15,7 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -202,7 +202,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id: the smallest id reachable by links, the row's own included. A null text counts as empty; empty texts
     have the fingerprint zero and are linked like any other. Rows with equal texts have equal fingerprints. A row whose
     id is null links like any other and gets the smallest id of its component, or null where no row with an id is in it. Ids
-    may be of any type with an order. Other columns are not read.
+    may be of any type with an order. Very long texts cost time and memory by their length, an empty table gives no row,
+    and other columns, whatever their names, are not read.
     """
     by_doc = materialise(fingerprints(docs, id_col, text_col, shingle))
     fps = materialise(by_doc.groupBy("fp").agg(F.min("id").alias("first_id")))
@@ -218,16 +219,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", find: Callable[..., DataFrame] = near_duplicates, **how) -> DataFrame:
-    """The rows of docs, all columns, of which each group of near-duplicates leaves its smallest id; rows without an id stay.
+    """The rows of docs, all columns, of which each group of near-duplicates leaves one: that with the smallest id, rows without an id last.
 
-    Where several rows bear that id, one of them stays. find: gives each row's component_id.
+    Groups are of texts, and rows decide by id and text together: rows of one id may be in different groups, and each of these leaves
+    its own. Of rows that share id and text, in effect, the one with the smallest hash of all its columns stays. An empty table stays
+    empty, and very long texts only cost what find() asks for them. find: gives each row's component_id, the smallest id of its group.
     """
-    found = find(docs, id_col, text_col, **how)
-    leaders = found.filter(F.col(id_col) == F.col("component_id")).groupBy(id_col).agg(F.count("*").alias("_rows"))
-    alone, repeated = leaders.filter("_rows = 1").select(id_col), leaders.filter("_rows > 1").select(id_col)
-    kept = docs.join(alone, id_col, "left_semi").unionByName(docs.filter(F.col(id_col).isNull()))
+    digest = F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    row = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), digest.alias("text"))
+    found = find(docs.select(row.alias("_row"), F.col(text_col).alias("_text")), "_row", "_text", **how)
+    leaders = materialise(found.filter(F.col("_row") == F.col("component_id")).groupBy("_row").agg(F.count("*").alias("_rows")))
+    named = docs.withColumn("_row", row)
+    kept = named.join(leaders.filter("_rows = 1").select("_row"), "_row", "left_semi").select(*docs.columns)
+    repeated = leaders.filter("_rows > 1").select("_row")
     if repeated.limit(1).count():
-        pick = Window.partitionBy(id_col).orderBy(F.xxhash64(*docs.columns))
-        again = docs.join(repeated, id_col, "left_semi").withColumn("_at", F.row_number().over(pick))
-        kept = kept.unionByName(again.filter("_at = 1").drop("_at"))
+        again = named.join(repeated, "_row", "left_semi").groupBy("_row")
+        kept = kept.unionByName(again.agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("x")).select("x.*"))
     return kept
