@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from countspark.llm.common import ship
 
-CACHE = 400_000  # words whose lengths a worker keeps
+CACHE = 50_000_000  # characters of words whose lengths a worker keeps, and as much for each word as 64 of them
 _UNKNOWN = 1 << 40  # added to the count of a word that the vocabulary can't spell
 _START, _INSIDE = 0, 1  # the roots for the beginning of a word and for what follows in it
 
@@ -88,11 +88,13 @@ def load(path: str) -> PieceCounter:
 class _Lengths(dict):
     def __init__(self, counter: PieceCounter):
         super().__init__()
-        self.counter = counter
+        self.counter, self.held = counter, 0
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= CACHE:
+        self.held += len(word) + 64
+        if self.held > CACHE:
             self.clear()
+            self.held = len(word) + 64
         n = self.counter.count(word)
         n = self[word] = 1 + _UNKNOWN if n is None else n
         return n

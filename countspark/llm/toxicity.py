@@ -24,11 +24,11 @@ from countspark.llm.common import drop, materialise, ship
 
 SAMPLE = 7000  # different labelled texts that a fit reads, in the order of their digests
 TOXIC_SHARE = 0.25  # of the sample that toxic texts may take
-FEATURES = 1024  # features that a fit keeps, the most telling ones; None: all
-SUPPORT = 0.015  # of the sample's toxic texts that a kept feature is in, at least; and two of them, unless this is 0
+TELLING = (2.0, 1.0, 0.0)  # standard errors that a feature's log odds are above 0, at least; the first of these that leaves any feature
+RIDGE = 1e-3
 GRADES = 3  # grades above 0
 _WORD = re.compile(r"\w+")
-_CACHE = 300_000
+_CACHE = 40_000_000  # characters of words, and as much for each word as 64 of them
 
 
 def word_features(word: str) -> set[int]:
@@ -62,7 +62,7 @@ class Rows:
         return np.bincount(self.col, self.value * d[self.row], self.shape[1])
 
 
-def fit_ordinal(x: Rows, y: np.ndarray, grades: int, ridge: float = 1e-6, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: Rows, y: np.ndarray, grades: int, ridge: float = RIDGE, steps: int = 600) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the proportional-odds model, by Adam on the mean negative log-likelihood."""
     w, t = np.zeros(x.shape[1]), np.linspace(1, 1 + grades, grades)
     t[1:] = np.log(np.diff(t))  # thresholds as a first one and log distances, so that they stay in order
@@ -108,11 +108,13 @@ class _Hits(dict):
 
     def __init__(self, index: dict[int, int]):
         super().__init__()
-        self.index = index
+        self.index, self.held = index, 0
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) > _CACHE:
+        self.held += len(word) + 64
+        if self.held > _CACHE:
             self.clear()
+            self.held = len(word) + 64
         found = self[word] = tuple(self.index[f] for f in word_features(word) if f in self.index)
         return found
 
@@ -127,14 +129,15 @@ def _score(model: Severity, hits: _Hits, text: str) -> float:
 
 def fit(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    sample: int = SAMPLE, features: int | None = FEATURES, support: float = SUPPORT,
+    sample: int = SAMPLE, features: int | None = None, support: float = 0.0,
 ) -> Severity:
     """Fit on at most `sample` different labelled texts. A text with several labels counts as toxic if one says so.
 
     Rows with a null id, label or text are left out, and exact copies count once. Toxic texts take a quarter of the
     sample at most, or what others leave; where the sample holds another share of the toxic texts than of the others, the thresholds and
     the cut are corrected for it. Without both toxic and other texts there is nothing to learn: the model then has no feature and
-    finds nothing toxic. features=None, support=0 keep every telling feature.
+    finds nothing toxic. Every telling feature is kept, and the ridge holds the rare ones back; features and support ask for the most telling
+    ones and for those in a share of the sample's toxic texts alone. Ties, repeated rows and very long texts need no care: a text counts once.
     """
     ship(docs.sparkSession)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg((F.max(label_col) > 0).cast("int").alias("toxic"))
@@ -159,7 +162,7 @@ def fit(
     return _fit(got, sizes, features, support)
 
 
-def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = FEATURES, support: float = SUPPORT) -> Severity:
+def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = None, support: float = 0.0) -> Severity:
     """From the texts (toxic, keys, counts) of a sample; sizes: how many there are of each class in all."""
     y = got["toxic"].to_numpy()
     nothing = Severity({}, np.zeros(0), np.array([30.0 + k for k in range(GRADES)]))
@@ -169,7 +172,7 @@ def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = FEATURES,
     counts = got["counts"].combine_chunks().flatten().to_numpy()
     doc = np.repeat(np.arange(len(y), dtype=np.int32), got["keys"].combine_chunks().value_lengths().to_numpy())
     kept, n1 = np.unique(keys[y[doc] == 1], return_counts=True)
-    enough = n1 >= (max(2, support * y.sum()) if support else 1)
+    enough = n1 >= support * y.sum()
     kept, n1 = kept[enough], n1[enough]
     if not len(kept):
         return nothing
@@ -177,7 +180,8 @@ def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = FEATURES,
     at = np.minimum(np.searchsorted(others, kept), max(0, len(others) - 1))
     n0 = np.where(others[at] == kept, n_other[at], 0) if len(others) else np.zeros(len(kept))
     odds = np.log((n1 + 0.5) / (y.sum() + 1)) - np.log((n0 + 0.5) / ((1 - y).sum() + 1))
-    telling = odds > np.log(4)
+    over = odds / np.sqrt(1 / (n1 + 0.5) + 1 / (n0 + 0.5))
+    telling = next((t for z in TELLING if (t := over > z).any()), np.zeros(len(odds), bool))
     strength = np.where(telling, odds * np.sqrt(n1), -1)
     best = np.argsort(-strength, kind="stable")[: int(telling.sum()) if features is None else min(features, int(telling.sum()))]
     kept = np.sort(kept[best])
@@ -214,7 +218,8 @@ def grade(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: st
 
     severity is the expected grade; grade the most probable one; toxic says that the probability of a grade above 0
     reaches the model's cut, which parts the labelled sample best; a text just there is toxic. A null or empty text has no
-    feature, so the severity of a text without any telling word. Other columns are not read.
+    feature, so the severity of a text without any telling word. Repeated rows get equal results, very long texts only take
+    time by their length, an empty table gives no row, and other columns, whatever their names, are not read.
     """
     ship(docs.sparkSession)
 

@@ -99,6 +99,16 @@ def test_rare_and_few_toxic_texts_are_learnt(spark):
         assert got == {i: i < 10_000 for i, _ in rows}
 
 
+def test_one_toxic_text_is_learnt_and_every_telling_feature_kept(spark):
+    rows, labels = made(1, 30)
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = {r.doc_id: r.toxic for r in toxicity.grade(docs, toxicity.fit(docs, marks)).collect()}
+    assert got == {i: i < 10_000 for i, _ in rows}
+    many = [(k, " ".join(f"vile{k % 12}x{j}" for j in range(150))) for k in range(60)] + [(10_000 + k, f"kind {k} talk") for k in range(300)]
+    docs, marks = spark.createDataFrame(many, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 10_000)) for i, _ in many], "doc_id long, toxic int")
+    assert len(toxicity.fit(docs, marks).index) > 1800  # a word and its beginnings for each
+
+
 def test_long_texts_count_alike_in_fit_and_scores(spark):
     rows, labels = made(20, 60, each=500)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
