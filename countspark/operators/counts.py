@@ -29,12 +29,6 @@ def cube(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     return spec.prepared(df).groupBy(*spec.features).agg(_pos(spec.label), _neg(spec.label))
 
 
-def worth_a_cube(df: DataFrame, spec: DatasetSpec, ratio: float = 0.25) -> bool:
-    """Whether the combinations are few enough, by an approximate count, for models to train from the cube."""
-    n, combos = df.agg(F.count("*"), F.approx_count_distinct(F.struct(*spec.features))).first()
-    return n > 0 and combos <= ratio * n
-
-
 def _long(df: DataFrame, spec: DatasetSpec, keep: list[str]) -> DataFrame:
     """One row for each row and feature: (keep, feature, value)."""
     return df.unpivot(keep, spec.features, "feature", "value")
@@ -130,9 +124,3 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
-
-
-def percentiles(df: DataFrame, column: str, at: tuple[float, ...] = (0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    """(p, value): exact percentiles with linear interpolation, by counting values before they are sorted."""
-    found = df.agg(F.percentile(column, F.array(*map(F.lit, at))).alias("v"))
-    return found.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("p"), F.col("v"))).alias("x")).select("x.p", F.col("x.v").alias("value"))

@@ -74,6 +74,30 @@ def metrics(scored: DataFrame, score: str = "risk", label: str = "y", threshold:
     return at.join(one(ranks)).join(one(shifted)).withColumns({"cohort_prior": F.lit(cohort_prior), "population_prior": F.lit(population_prior), "threshold": F.lit(threshold)})
 
 
+def at_population_rate(points: DataFrame, cohort_rate: float, population_rate: float) -> DataFrame:
+    """One row (f1_population, pr_auc_population) from curve(): what F1 and the area would be where positives have another share.
+
+    Each class weighs as much as brings its share from the cohort's to the population's, before precision is taken; the order of the scores
+    stays. Both are null where one class is absent.
+    """
+    wp, wn = population_rate / cohort_rate, (1 - population_rate) / (1 - cohort_rate)
+    tp, fp = wp * F.col("tp"), wn * F.col("fp")
+    whole = points.agg(F.sum("p").alias("all_pos"), F.sum("n").alias("all_neg"))
+    found = points.join(F.broadcast(whole)).agg(  # one row
+        F.max(2.0 * tp / (tp + fp + wp * F.col("all_pos"))).alias("f1"), F.sum(F.col("p") * tp / (tp + fp)).alias("area"), F.max("all_pos").alias("pos"), F.max("all_neg").alias("neg")
+    )
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return found.select(F.when(both, F.col("f1")).alias("f1_population"), F.when(both, F.col("area") / F.col("pos")).alias("pr_auc_population"))
+
+
+def screening(scored: DataFrame, cohort_rate: float, population_rate: float, threshold: float, score: str = "risk", label: str = "y") -> DataFrame:
+    """One row: the referrals at a threshold, the ranking in the cohort, and both at the population's rate."""
+    points = curve(scored, F.col(score), label)
+    at = confusion(scored, (F.col(score) >= threshold).cast("int"), label)
+    out = at.join(F.broadcast(ranking(points))).join(F.broadcast(at_population_rate(points, cohort_rate, population_rate)))
+    return out.withColumns({"population_rate": F.lit(population_rate), "threshold": F.lit(threshold)})
+
+
 def evaluate_with(df: DataFrame, risk: Column, label: str = "y", threshold: float = 0.5) -> DataFrame:
     """The confusion of any risk expression."""
     return confusion(df.withColumn("_risk", risk), (F.col("_risk") >= threshold).cast("int"), label)

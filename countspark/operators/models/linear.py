@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from countspark.functions.math import apply_platt, clipped, sigmoid
+from countspark.operators.models.providers import codes
 from countspark.operators.models.scoring import attach
 from countspark.operators.suppress import midpoint
 from countspark.plans.spec import DatasetSpec
@@ -107,38 +106,39 @@ class Logistic:
         return out.withColumn(name, sum((F.col(c) for c in names), F.lit(float(self.beta[0])))).drop(*names)
 
     def refine(self, cube: DataFrame, max_iter: int = 25, tol: float = 1e-6) -> Logistic:
-        """Newton steps of the logistic likelihood, each one pass over the cube: a partition gives its own sums of products, one row."""
-        spec, at, size = self.spec, {k: i + 1 for i, k in enumerate(self.index)}, len(self.beta)
-        columns = [{v: at.get((f, v), size) for v in vs} for f, vs in spec.domains.items()]  # the place of each value; size: none
-        beta = self.beta.copy()
-
-        def step(now: np.ndarray):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                left, right, wide = np.zeros((size + 1, size + 1)), np.zeros(size + 1), np.append(now, 0.0)
-                for batch in batches:
-                    n_pos, n_neg = (batch.column(len(columns) + k).to_numpy().astype(float) for k in (0, 1))
-                    rows, x = np.arange(len(n_pos)), np.zeros((len(n_pos), size + 1))
-                    x[:, 0] = 1
-                    for places, c in zip(columns, batch.columns):
-                        x[rows, [places.get(v, size) for v in c.to_pylist()]] = 1
-                    z = np.clip(x @ wide, -500, 500)
-                    mu = np.clip(1 / (1 + np.exp(-z)), 1e-10, 1 - 1e-10)
-                    n = n_pos + n_neg
-                    w = n * mu * (1 - mu)
-                    left += x.T @ (x * w[:, None])
-                    right += x.T @ (w * z + n_pos - n * mu)
-                yield pa.RecordBatch.from_arrays([pa.array([left[:size, :size].ravel()]), pa.array([right[:size]])], names=["left", "right"])
-
-            return run
-
-        lines = cube.select(*[F.lower(F.col(f).cast("string")) for f in spec.features], "n_pos", "n_neg")
-        for _ in range(max_iter):
-            parts = lines.mapInArrow(step(beta), "left array<double>, right array<double>").toArrow()  # one row for each partition
-            left, right = (sum((np.array(v) for v in parts[c].to_pylist()), np.zeros(1)) for c in ("left", "right"))
-            new = np.linalg.solve(left.reshape(size, size) + self.ridge * np.eye(size), right)
-            moved, beta = np.abs(new - beta).max(), new
-            if moved < tol:
-                break
+        """Newton steps of the logistic likelihood, each one grouped sum over the cube.
+
+        A line of the cube has one dummy for each feature at most, so it adds its weight to the few cells of the matrix of products that its
+        pairs of dummies name; these are numbered once. The sums by cell come to the driver: the dummies' number squared, at most.
+        """
+        size, beta = len(self.beta), self.beta.copy()
+        place = {k: i + 1 for i, k in enumerate(self.index)}
+        where = F.array(*[F.lit(place.get((f, v), -1)) for f, v, _ in self.spec.candidates()])
+        own = F.filter(F.transform(codes(self.spec), lambda c: F.when(c >= 0, F.get(where, c)).otherwise(-1)), lambda c: c > 0)
+        named = cube.select(F.concat(F.array(F.lit(0)), own).alias("x"), "n_pos", (F.col("n_pos") + F.col("n_neg")).alias("n")).filter("n > 0")
+        cells = F.flatten(F.transform("x", lambda a, i: F.transform(F.slice("x", i + 1, F.size("x")), lambda b: a * size + b)))
+        lines = named.withColumn("cells", cells).persist()
+        try:
+            for _ in range(max_iter):
+                known = F.array(*[F.lit(float(b)) for b in beta])
+                z = clipped(F.aggregate("x", F.lit(0.0), lambda s, c: s + F.get(known, c)), -500.0, 500.0)
+                mu = clipped(sigmoid(F.col("z")), 1e-10, 1 - 1e-10)
+                w = F.col("n") * F.col("mu") * (1.0 - F.col("mu"))
+                ready = lines.withColumn("z", z).withColumn("mu", mu).withColumn("w", w)
+                answer = F.col("w") * F.col("z") + F.col("n_pos") - F.col("n") * F.col("mu")
+                sums = ready.select(F.explode("cells").alias("cell"), "w", answer.alias("wy")).groupBy("cell").agg(F.sum("w").alias("w"), F.sum("wy").alias("wy"))
+                left, right = np.zeros((size, size)), np.zeros(size)
+                for r in sums.collect():
+                    a, b = divmod(r["cell"], size)
+                    left[a, b] = left[b, a] = r["w"]
+                    if a == 0:
+                        right[b] = r["wy"]
+                new = np.linalg.solve(left + self.ridge * np.eye(size), right)
+                moved, beta = np.abs(new - beta).max(), new
+                if moved < tol:
+                    break
+        finally:
+            lines.unpersist()
         return Logistic(self.spec, self.index, beta, self.ridge, self.threshold)
 
     def transform(self, df: DataFrame, use_sigmoid: bool = True) -> DataFrame:

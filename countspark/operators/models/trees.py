@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from countspark.functions.math import IMPURITY, sigmoid
+from countspark.operators.models.providers import CountProvider, CubeCounts, Known, Path, equal
 from countspark.operators.suppress import split_allowed
 from countspark.plans.spec import DatasetSpec
 
@@ -30,10 +31,6 @@ class Node:
         return self.n_pos / n if n else 0.0
 
 
-def equal(feature: str, value: str) -> Column:
-    return F.coalesce(F.lower(F.col(feature).cast("string")) == F.lit(value), F.lit(False))
-
-
 @dataclass
 class Tree:
     """nodes by number: the root is 1, the children of i are 2 i (the value) and 2 i + 1 (any other)."""
@@ -85,9 +82,6 @@ def best_splits(gains: DataFrame) -> DataFrame:
     return gains.filter("gain > 0").withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r")
 
 
-_TREE = 1 << 40  # node numbers of a forest's trees are apart by this
-
-
 @dataclass
 class Forest:
     spec: DatasetSpec
@@ -105,42 +99,67 @@ class Forest:
         return "".join(f"tree {i}, features {', '.join(s)}\n{t.describe()}" for i, (t, s) in enumerate(zip(self.trees, self.subsets)))
 
 
-def grow(cube: DataFrame, spec: DatasetSpec, subsets: list[list[str]], n_pos: int, n_neg: int, max_depth: int = 3, criterion: str = "gini", k_min: int = 0) -> list[Tree]:
-    """One tree for each subset of features, all from one pass over the cube per level.
+def impurity(criterion: str, pos: np.ndarray, neg: np.ndarray) -> np.ndarray:
+    """What IMPURITY computes, for arrays of counts."""
+    n = pos + neg
+    with np.errstate(divide="ignore", invalid="ignore"):
+        p = pos / n
+        if criterion == "gini":
+            return np.where(n > 0, 1.0 - p * p - (1.0 - p) * (1.0 - p), 0.0)
+        return np.where((pos > 0) & (neg > 0), -(p * np.log2(p) + (1.0 - p) * np.log2(1.0 - p)), 0.0)
+
+
+def best_split(left: np.ndarray, n_pos: int, n_neg: int, order: np.ndarray, criterion: str, k_min: int) -> tuple[int, float] | None:
+    """The candidate with the largest gain, of equal ones (to ROUND digits) the first in an order of candidates; None where no split gains.
 
-    Each row goes, once per tree, to the node that it is in; only the winning splits, two for a parent at most, come to the driver.
+    left: (positives, others) that each candidate puts on its left.
+    """
+    lp, ln = left[0, order], left[1, order]
+    rp, rn, n = n_pos - lp, n_neg - ln, n_pos + n_neg
+    gain = impurity(criterion, np.array(n_pos), np.array(n_neg)) - ((lp + ln) / n * impurity(criterion, lp, ln) + (rp + rn) / n * impurity(criterion, rp, rn))
+    ok = (lp + ln > 0) & (rp + rn > 0) & (gain > 0)
+    if k_min:
+        ok &= ((lp == 0) | (lp >= k_min)) & ((rp == 0) | (rp >= k_min))
+    if not ok.any():
+        return None
+    k = int(np.argmax(np.where(ok, np.round(gain, ROUND), -np.inf)))
+    return int(order[k]), float(gain[k])
+
+
+def grow(source: DataFrame | CountProvider, spec: DatasetSpec, subsets: list[list[str]], n_pos: int, n_neg: int, max_depth: int = 3, criterion: str = "gini", k_min: int = 0) -> list[Tree]:
+    """One tree for each subset of features, all from one pass over the source per level: a cube of counts, or any CountProvider.
+
+    A node's counts are one dense array over all candidates. Trees that come along the same path share it, the right side of a split is
+    its node less the left one, and so a level asks for the left sides only: at most 2 ^ depth arrays a tree come to the driver, each as long as the domains.
     """
     if criterion not in IMPURITY:
         raise ValueError(f"criterion must be one of {sorted(IMPURITY)}")
-    spark = cube.sparkSession
+    known = Known(CubeCounts(source, spec) if isinstance(source, DataFrame) else source)
+    named = [(f, v) for f, v, _ in spec.candidates()]
+    orders = [np.array([known.at[f, v] for f in s for v in spec.domains[f]], int) for s in subsets]
     trees = [Tree({1: Node(n_pos, n_neg)}) for _ in subsets]
-    order = [[(f, v, k) for k, (f, v) in enumerate((f, v) for f in s for v in spec.domains[f])] for s in subsets]
-    frontier = [[1] for _ in subsets]
-    for depth in range(max_depth):
-        open_ = [[i for i in level if t.nodes[i].n_pos and t.nodes[i].n_neg] for t, level in zip(trees, frontier)]
-        if not any(open_):
+    frontier: list[tuple[int, int, Path]] = [(k, 1, ()) for k in range(len(subsets))]
+    for _ in range(max_depth):
+        frontier = [(k, i, path) for k, i, path in frontier if trees[k].nodes[i].n_pos and trees[k].nodes[i].n_neg]
+        if not frontier:
             break
-        at = [
-            t.where(lambda i, _, k=k, here=set(here): F.lit(k * _TREE + i) if i in here else F.lit(None).cast("long"))
-            for k, (t, here) in enumerate(zip(trees, open_)) if here
-        ]
-        rows = cube.withColumn("node", F.explode(F.array(*[a.cast("long") for a in at]))).filter("node is not null")
-        histogram = rows.unpivot(["node", "n_pos", "n_neg"], spec.features, "feature", "value").groupBy("node", "feature", "value").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
-        nodes = [(k, i) for k, here in enumerate(open_) for i in here]
-        totals = spark.createDataFrame([(k * _TREE + i, trees[k].nodes[i].n_pos, trees[k].nodes[i].n_neg) for k, i in nodes], "node long, node_pos long, node_neg long")
-        candidates = spark.createDataFrame([(k * _TREE + i, *c) for k, i in nodes for c in order[k]], "node long, feature string, value string, col_idx int")
-        frontier = [[] for _ in subsets]
-        for r in best_splits(split_gains(histogram, totals, F.broadcast(candidates), criterion, k_min)).collect():
-            k, i = divmod(r["node"], _TREE)
-            tree = trees[k].nodes
-            tree[i].feature, tree[i].value, tree[i].gain = r["feature"], r["value"], r["gain"]
-            tree[2 * i] = Node(r["left_pos"], r["left_neg"])
-            tree[2 * i + 1] = Node(r["node_pos"] - r["left_pos"], r["node_neg"] - r["left_neg"])
-            frontier[k] += [2 * i, 2 * i + 1]
+        below: list[tuple[int, int, Path]] = []
+        for (k, i, path), left in zip(frontier, known([path for *_, path in frontier])):
+            nodes = trees[k].nodes
+            node = nodes[i]
+            found = best_split(left, node.n_pos, node.n_neg, orders[k], criterion, k_min)
+            if found is None:
+                continue
+            at, node.gain = found
+            node.feature, node.value = named[at]
+            nodes[2 * i] = Node(int(left[0, at]), int(left[1, at]))
+            nodes[2 * i + 1] = Node(node.n_pos - nodes[2 * i].n_pos, node.n_neg - nodes[2 * i].n_neg)
+            below += [(k, 2 * i + side, (*path, (node.feature, node.value, not side))) for side in (0, 1)]
+        frontier = below
     return trees
 
 
-def decision_tree(cube: DataFrame, spec: DatasetSpec, n_pos: int, n_neg: int, max_depth: int = 3, criterion: str = "gini", k_min: int = 0, threshold: float = 0.5) -> Forest:
+def decision_tree(cube: DataFrame | CountProvider, spec: DatasetSpec, n_pos: int, n_neg: int, max_depth: int = 3, criterion: str = "gini", k_min: int = 0, threshold: float = 0.5) -> Forest:
     """A forest of one tree over all features."""
     return Forest(spec, grow(cube, spec, [spec.features], n_pos, n_neg, max_depth, criterion, k_min), [spec.features], threshold)
 
@@ -171,7 +190,7 @@ def feature_subsets(features: list[str], n_trees: int, rule, seed: int) -> list[
     return out
 
 
-def random_forest(cube: DataFrame, spec: DatasetSpec, n_pos: int, n_neg: int, n_trees: int = 7, max_depth: int = 3, max_features=4, seed: int = 42, criterion: str = "gini", k_min: int = 0, threshold: float = 0.5) -> Forest:
+def random_forest(cube: DataFrame | CountProvider, spec: DatasetSpec, n_pos: int, n_neg: int, n_trees: int = 7, max_depth: int = 3, max_features=4, seed: int = 42, criterion: str = "gini", k_min: int = 0, threshold: float = 0.5) -> Forest:
     """Trees on feature subsets, without resampling of rows."""
     subsets = feature_subsets(spec.features, n_trees, max_features, seed)
     return Forest(spec, grow(cube, spec, subsets, n_pos, n_neg, max_depth, criterion, k_min), subsets, threshold)

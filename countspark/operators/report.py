@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from countspark.functions.math import DOUBLING, SECOND_EXPONENT, linear_cost, power_law
 from countspark.operators import metrics
+from countspark.operators.ordering import paired
 
 
 def comparison(scored: dict[str, DataFrame], threshold: float = 0.5, **how) -> DataFrame:
@@ -28,9 +29,16 @@ def confusion_cells(scored: DataFrame, pred: str = "pred", label: str = "y") ->
     return scored.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(F.count("*").alias("n"))
 
 
-def validation(a: DataFrame, b: DataFrame, key: list[str], label: str = "y") -> DataFrame:
-    """One row: how often two models agree on the same rows, and their accuracies; key must identify a row."""
-    joined = a.select(*key, label, F.col("pred").alias("_a")).join(b.select(*key, F.col("pred").alias("_b")), key)
+def validation(a: DataFrame, b: DataFrame, key: list[str], label: str = "y", order: list[str] | None = None) -> DataFrame:
+    """One row: how often two models agree on the same rows, and their accuracies.
+
+    Where keys are shared, order names columns that both tables have: rows of a key then pair by their place in that order.
+    """
+    if order is None:
+        joined = a.select(*key, label, F.col("pred").alias("_a")).join(b.select(*key, F.col("pred").alias("_b")), key)
+    else:
+        both = paired(a.select(*key, *order, "pred"), b.select(*key, *order, "pred"), key, order)
+        joined = both.filter(F.col("pred").isNotNull() & F.col("pred_b").isNotNull()).select(label, F.col("pred").alias("_a"), F.col("pred_b").alias("_b"))
     share = lambda c, n: F.avg(c.cast("double")).alias(n)
     return joined.agg(F.count("*").alias("n"), share(F.col("_a") == F.col("_b"), "agreement"), share(F.col("_a") == F.col(label), "accuracy_a"), share(F.col("_b") == F.col(label), "accuracy_b"))
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from countspark.functions import clinical, strings
 from countspark.functions.math import DOUBLING, apply_platt, power_law, recalibrate
-from countspark.operators import analysis, baselines, counts, metrics, report, suppress
+from countspark.operators import analysis, baselines, counts, metrics, neighbours, quantiles, report, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
 from countspark.plans import model_sql
 from countspark.plans.spec import RISK, DatasetSpec, risk_view, test_of, train_of
@@ -244,7 +244,7 @@ def value_counts(spark, sf_dir):
 
 @query("SELECT p, " + _R("CASE p WHEN 0.5 THEN quantile_cont(value, 0.5) WHEN 0.75 THEN quantile_cont(value, 0.75) WHEN 0.95 THEN quantile_cont(value, 0.95) ELSE quantile_cont(value, 0.99) END") + " AS value FROM events CROSS JOIN (VALUES (0.5::DOUBLE), (0.75::DOUBLE), (0.95::DOUBLE), (0.99::DOUBLE)) AS t(p) GROUP BY p")
 def score_percentiles(spark, sf_dir):
-    return rounded(counts.percentiles(read(spark, sf_dir, "events"), "value"))
+    return rounded(quantiles.percentiles(read(spark, sf_dir, "events"), "value"))
 
 
 @query(f"SELECT event_type, count(*) AS cnt, {_R('min(value)')} AS lowest, {_R('max(value)')} AS highest, {_R('avg(value)')} AS mean, {_R('sum(value)', 3)} AS total FROM events GROUP BY 1")
@@ -727,32 +727,63 @@ def k_modes_clusters(spark, sf_dir):
 # ---- generators, noise and scaling
 
 
-@query(f"WITH {RISK_SQL} SELECT l_orderkey, l_linenumber, CASE WHEN y = 1 THEN 'n' ELSE 'r' END AS flag, y FROM labelled")
+NOISE, _NOISE_KEYS = 0.05, [*KEYS, "risk_level", "priority"]
+_NOISY = datagen.picked_sql(_NOISE_KEYS, NOISE, "noise")
+
+
+@query(f"WITH {RISK_SQL} SELECT l_orderkey, l_linenumber, CASE WHEN {_NOISY} THEN CASE WHEN y = 1 THEN 'n' ELSE 'r' END ELSE flag END AS flag, y, {_NOISY} AS noisy FROM labelled")
 def noisy_label_flip(spark, sf_dir):
-    noisy = F.when(F.col("y") == 1, "n").otherwise("r")
-    return risk_view(spark, sf_dir).select(*KEYS, noisy.alias("flag"), "y")
+    """All lines; one in twenty, by a digest of its fields, bears the flag that is typical of the other class."""
+    noisy = datagen.picked(_NOISE_KEYS, NOISE, "noise")
+    return risk_view(spark, sf_dir).select(*KEYS, F.when(noisy, F.when(F.col("y") == 1, "n").otherwise("r")).otherwise(F.col("flag")).alias("flag"), "y", noisy.alias("noisy"))
+
 
+_SIZED = ["lineitem", "orders", "events"]
 
-@query(f"SELECT n AS row_count, {_R('71.0 * pow(n / 370000.0::DOUBLE, 0.794935661)', 3)} AS seconds FROM (VALUES (100000::BIGINT), (1000000::BIGINT), (100000000::BIGINT)) AS t(n)")
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS row_count, {_R('71.0 * pow(count(*) / 370000.0::DOUBLE, 0.794935661)', 3)} AS seconds FROM {t}" for t in _SIZED))
 def scaling_law(spark, sf_dir):
-    rows = spark.createDataFrame([(n,) for n in (100_000, 1_000_000, 100_000_000)], "row_count long")
-    return rounded(rows.select("row_count", power_law(71.0, 370_000, F.col("row_count"), DOUBLING).alias("seconds")), 3)
+    """How long a fit of 71 seconds over 370,000 rows takes by the doubling law on tables of these sizes."""
+    sizes = [read(spark, sf_dir, t).agg(F.count("*").alias("row_count")).select(F.lit(t).alias("table"), "row_count") for t in _SIZED]
+    rows = sizes[0].union(sizes[1]).union(sizes[2])
+    return rounded(rows.withColumn("seconds", power_law(71.0, 370_000, F.col("row_count"), DOUBLING)), 3)
+
 
+def _drawn(spark, sf_dir, noisy: bool = False) -> DataFrame:
+    return datagen.fraud_of(read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), noisy=noisy)
 
-@query()
+
+_DRAWN = "SELECT o_orderkey AS id FROM orders"
+
+
+@query(f"SELECT fraud_type, CAST(risk_level >= 50 AS INTEGER) AS y, account_jurisdiction, count(*) AS cnt, sum(risk_level)::BIGINT AS levels FROM ({datagen.fraud_sql(_DRAWN)}) GROUP BY 1, 2, 3")
 def generate_fraud(spark, sf_dir):
-    df = datagen.fraud(spark, 20_000)
+    """A record for each order, summed by type, class and jurisdiction."""
+    df = _drawn(spark, sf_dir)
+    return df.groupBy("fraud_type", (F.col("risk_level") >= 50).cast("int").alias("y"), "account_jurisdiction").agg(F.count("*").alias("cnt"), F.sum("risk_level").alias("levels"))
+
+
+@query(f"SELECT fraud_type, CAST(risk_level >= 50 AS INTEGER) AS y, count(*) AS cnt FROM ({datagen.fraud_sql(_DRAWN, noisy=True)}) GROUP BY 1, 2")
+def generate_fraud_noisy(spark, sf_dir):
+    df = _drawn(spark, sf_dir, noisy=True)
     return df.groupBy("fraud_type", (F.col("risk_level") >= 50).cast("int").alias("y")).agg(F.count("*").alias("cnt"))
 
 
-@query()
+_SHARES = lambda table: {k: v[0] for k, v in table.items()}
+
+
+@query(f"""SELECT {datagen.choice_sql(datagen.draw_sql(42, "age"), _SHARES(datagen.AGES))} AS age_group, {datagen.choice_sql(datagen.draw_sql(42, "race"), datagen.RACES)} AS race_ethnicity,
+{datagen.choice_sql(datagen.draw_sql(42, "density"), datagen.DENSITY)} AS breast_density, count(*) AS cnt FROM (SELECT c_custkey AS id FROM customer) GROUP BY 1, 2, 3""")
 def generate_screening(spark, sf_dir):
-    return rounded(datagen.screening(spark, 20_000).groupBy("age_group").agg(F.count("*").alias("cnt"), F.avg("cancer_5yr").alias("rate")))
+    """A record for each customer, summed by three of its drawn fields."""
+    df = datagen.screening_of(read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")))
+    return df.groupBy("age_group", "race_ethnicity", "breast_density").agg(F.count("*").alias("cnt"))
 
 
-@query()
+@query(" UNION ALL ".join(f"SELECT '{f.name}' AS field, count(*) FILTER (WHERE \"{f.name}\" IS NULL) AS n_missing, "
+    + (f"count(*) FILTER (WHERE NOT (\"{f.name}\" BETWEEN {records.FRAUD_BOUNDS[f.name][0]} AND {records.FRAUD_BOUNDS[f.name][1]}))" if f.name in records.FRAUD_BOUNDS else "0::BIGINT") + " AS n_out_of_bounds FROM drawn" for f in records.FRAUD).join([f"WITH drawn AS (SELECT *, 'IBAN' AS reported_iban FROM ({datagen.fraud_sql(_DRAWN)})) ", ""]))
 def validate_records(spark, sf_dir):
-    return records.violations(datagen.fraud(spark, 5_000), records.FRAUD, records.FRAUD_BOUNDS)
+    return records.violations(_drawn(spark, sf_dir), records.FRAUD, records.FRAUD_BOUNDS)
 
 
 _LINE_BOUNDS = {"l_quantity": (1, 40), "l_discount": (0, 0.05), "l_tax": (0, 1)}
@@ -840,27 +871,46 @@ def decisions(spark, sf_dir):
     return report.decisions(rounded(nb_scored(spark, sf_dir).select(*KEYS, "risk")), KEYS, order=[*KEYS, "risk"])
 
 
-@query(f"""WITH {_HIST_SQL}, hv AS (SELECT x.l_orderkey, x.l_linenumber, x.y, ("""
-    + " + ".join(f"w{i}.weight * h{i}.bucket_risk" for i in range(len(FEATURES))) + ") / (" + " + ".join(f"w{i}.weight" for i in range(len(FEATURES))) + ") AS risk FROM test x "
-    + " ".join(f"JOIN hb h{i} ON h{i}.feature = '{f}' AND h{i}.value = x.\"{f}\" JOIN hw w{i} ON w{i}.feature = '{f}'" for i, f in enumerate(FEATURES))
-    + "), one AS (SELECT l_orderkey, l_linenumber, y, CAST(risk >= (SELECT r FROM prior) AS INTEGER) AS a, CAST(risk >= 0.5 AS INTEGER) AS b FROM hv QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_linenumber) = 1) "
-    + f"SELECT count(*) AS n, {_R('avg((a = b)::INTEGER)')} AS agreement, {_R('avg((a = y)::INTEGER)')} AS accuracy_a, {_R('avg((b = y)::INTEGER)')} AS accuracy_b FROM one")
+_VALIDATED = f"""WITH {_HIST_SQL}, hv AS (SELECT x.l_orderkey, x.l_linenumber, x.y, ({" + ".join(f"w{i}.weight * h{i}.bucket_risk" for i in range(len(FEATURES)))}) / ({" + ".join(f"w{i}.weight" for i in range(len(FEATURES)))}) AS risk
+FROM test x {" ".join(f"JOIN hb h{i} ON h{i}.feature = '{f}' AND h{i}.value = x.{chr(34)}{f}{chr(34)} JOIN hw w{i} ON w{i}.feature = '{f}'" for i, f in enumerate(FEATURES))}),
+one AS (SELECT *, CAST(risk >= (SELECT r FROM prior) AS INTEGER) AS pred, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY y, risk) AS nth FROM hv),
+other AS (SELECT *, CAST(risk >= 0.5 AS INTEGER) AS pred, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY y, risk) AS nth FROM hv)
+SELECT count(*) AS n, {_R("avg((a.pred = b.pred)::INTEGER)")} AS agreement, {_R("avg((a.pred = a.y)::INTEGER)")} AS accuracy_a, {_R("avg((b.pred = a.y)::INTEGER)")} AS accuracy_b
+FROM one a JOIN other b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber AND a.nth = b.nth"""
+
+
+@query(_VALIDATED)
 def model_validation(spark, sf_dir):
-    """Two cuts of one model on the rows that their keys identify."""
+    """Two cuts of one model on every held-out row; rows that share their keys pair by the order of label and risk."""
     with held(train_cube(spark, sf_dir)) as cube:
         model = histogram.HistogramClassifier.fit(counts.marginals_of_cube(cube, RISK), RISK, *totals(cube))
     scored = model.transform(test_of(risk_view(spark, sf_dir))).select(*KEYS, "y", "risk", "pred")
-    single = scored.groupBy(*KEYS).agg(F.count("*").alias("n"), *[F.any_value(c).alias(c) for c in ("y", "risk", "pred")]).filter("n = 1")
-    return rounded(report.validation(single, single.withColumn("pred", (F.col("risk") >= 0.5).cast("int")), KEYS))
+    return rounded(report.validation(scored, scored.withColumn("pred", (F.col("risk") >= 0.5).cast("int")), KEYS, order=["y", "risk"]))
+
+
+@query("""WITH names AS (SELECT DISTINCT p_name AS s FROM part WHERE p_name IS NOT NULL), pairs AS (SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s) AS distance FROM names a JOIN names b ON a.s <> b.s)
+SELECT a, b, CAST(distance AS INTEGER) AS distance, CAST(row_number() OVER (PARTITION BY a ORDER BY distance, b) AS INTEGER) AS nth FROM pairs WHERE distance <= 6 QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 5""")
+def string_neighbours(spark, sf_dir):
+    """For each part name, its five nearest other names, at most six edits apart."""
+    part = read(spark, sf_dir, "part")
+    return neighbours.nearest(part, part, "p_name", k=5, most=6)
+
+
+@query("""WITH urls AS (SELECT DISTINCT regexp_replace(url, '[?#].*', '') AS s FROM pages WHERE url IS NOT NULL), pairs AS (SELECT a.s AS a, b.s AS b, levenshtein(a.s, b.s) AS distance FROM urls a JOIN urls b ON a.s <> b.s)
+SELECT a, b, CAST(distance AS INTEGER) AS distance, CAST(row_number() OVER (PARTITION BY a ORDER BY distance, b) AS INTEGER) AS nth FROM pairs WHERE distance <= 3 QUALIFY row_number() OVER (PARTITION BY a ORDER BY distance, b) <= 3""")
+def url_neighbours(spark, sf_dir):
+    """For each page address, its three nearest other ones, at most three edits apart."""
+    urls = read(spark, sf_dir, "pages").select(F.regexp_replace("url", "[?#].*", "").alias("s"))
+    return neighbours.nearest(urls, urls, "s", k=3, most=3)
 
 
 def queries() -> dict[str, Query]:
-    from countspark.plans import screening  # noqa: F401  (registers its queries)
+    from countspark.plans import fraud, screening  # noqa: F401  (these register their queries)
 
     return dict(_TABLES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from countspark.plans import screening  # noqa: F401
+    from countspark.plans import fraud, screening  # noqa: F401
 
     return dict(_SQL)

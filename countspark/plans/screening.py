@@ -1,7 +1,6 @@
-"""The screening and fraud applications: what their models see of a table, and the queries that run them under suppression.
+"""The screening application: what its models see of a table, and the queries that run them under suppression.
 
-Screening models are fitted from counts that are suppressed first; class totals never are. The queries read patients derived from
-customers, so that each has its SQL; the fraud ones read generated records.
+Models are fitted from counts that are suppressed first; class totals never are. The queries read patients derived from customers, so that each has its SQL.
 """
 
 from __future__ import annotations
@@ -15,10 +14,10 @@ from countspark.functions import clinical
 from countspark.functions.math import recalibrate
 from countspark.operators import counts, metrics, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
-from countspark.plans import model_sql
+from countspark.plans import fraud, model_sql
 from countspark.plans import queries as q
 from countspark.plans.spec import DatasetSpec
-from countspark.sources import datagen, scan
+from countspark.sources import scan
 
 #: The features of the screening models in order, their domains, parents and reference categories.
 SCREENING = DatasetSpec(
@@ -38,20 +37,6 @@ SCREENING = DatasetSpec(
 REFERENCE = {"age_group": "40_49", "race": "white", "relatives": "0", "biopsies": "0", "atypical": "no", "menarche": "14_plus", "density": "1", "afb": "nulliparous"}
 POPULATION_RATE, REFER_AT, K = 0.016, 0.0167, suppress.MIN_CELL
 
-#: The features of the fraud models in order, and their parents.
-FRAUD = DatasetSpec(
-    domains={
-        "fraud_type": [*datagen.HIGH_TYPES, *datagen.LOW_TYPES],
-        "account_jurisdiction": [c.lower() for c in datagen.JURISDICTIONS],
-        "is_active": ["true", "false"],
-        "month": [str(m) for m in range(1, 13)],
-        "reporting_bank_id": [f"bank{k:03d}" for k in range(1, 51)],
-        "year": [str(y) for y in datagen.YEARS],
-    },
-    numeric=("month_n", "day_n", "year_n"),
-    parents={"account_jurisdiction": ("fraud_type",), "is_active": ("fraud_type",), "month": ("year",), "reporting_bank_id": ("account_jurisdiction",)},
-)
-
 
 def prepare_screening(records: DataFrame) -> DataFrame:
     """Screening records with the features that SCREENING names, the label as y, and all their own columns."""
@@ -65,11 +50,6 @@ def prepare_screening(records: DataFrame) -> DataFrame:
     )
 
 
-def prepare_fraud(records: DataFrame, threshold: int = 50) -> DataFrame:
-    """Fraud records with the label y, risk_level from the threshold on, and the numbers of the Gaussian model."""
-    return records.withColumns({"y": (F.col("risk_level") >= threshold).cast("int"), **{f"{c}_n": F.col(c).cast("int") for c in ("month", "day", "year")}})
-
-
 def numeric_value_counts(df: DataFrame, numeric: list[str] | tuple[str, ...], label: str = "y") -> DataFrame:
     """(feature, value, n_pos, n_neg): the counts of each value of numeric columns; one that is null or no number is an error."""
     number = lambda c: F.coalesce(F.col(c).try_cast("double"), F.raise_error(F.lit(f"{c} must be a number in every row")).cast("double")).alias(c)
@@ -192,6 +172,17 @@ def screening_gaussian_k11(spark, sf_dir):
     return sums_of_counts(screening_value_counts_k11(spark, sf_dir))
 
 
+_SUMS_K = """SELECT feature, cls, sum(c)::DOUBLE AS n, sum(value * c)::DOUBLE AS total, sum(value * value * c)::DOUBLE AS total_sq
+FROM (SELECT feature, value, 1 AS cls, n_pos AS c FROM vals UNION ALL SELECT feature, value, 0, n_neg FROM vals) GROUP BY 1, 2"""
+
+
+@q.query(fraud.gaussian_sql(f"{_sql(K)}, {_VALUES_SQL}", _SUMS_K, SCREENING.numeric, "c_custkey", "SELECT (SELECT max(n) FROM gs WHERE cls = 1) AS p, (SELECT max(n) FROM gs WHERE cls = 0) AS n"))
+def screening_gnb_scores_k11(spark, sf_dir):
+    """The Gaussian model from sums over suppressed counts of values; its class totals are the largest that any feature's counts add up to."""
+    model = naive_bayes.GaussianNaiveBayes.fit(screening_gaussian_k11(spark, sf_dir))
+    return q.rounded(model.transform(held_out(patients(spark, sf_dir))).select("c_custkey", "risk", "pred"))
+
+
 def _state_sql(f: str) -> str:
     return " || '|' || ".join(f"'{p}=' || {p}" for p in SCREENING.parents.get(f, ())) or "''"
 
@@ -219,8 +210,7 @@ def screening_pairs_k11(spark, sf_dir):
     with q.held(cube) as kept:
         p, n = q.totals(kept)
         found = suppress.independence_estimates(zero_filled_pairs(counts.pairwise(kept, SCREENING), SCREENING), counts.marginals_of_cube(kept, SCREENING), p + n)
-        rows = q.rounded(found).collect()  # as many as the domains make
-    return spark.createDataFrame(rows, found.schema)
+    return q.rounded(found)  # what was held is computed again where it is gone
 
 
 def _from_screening(spark: SparkSession, sf_dir: str, fit) -> DataFrame:
@@ -326,38 +316,22 @@ def screening_hist_scores_k11(spark, sf_dir):
     return q.rounded(histogram.HistogramClassifier.fit(marginals, SCREENING, p, n).transform(held_out(view)).select("c_custkey", "risk", "pred"))
 
 
-def _fraud(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    view = prepare_fraud(datagen.fraud(spark, 20_000))
-    test = F.pmod(F.col("report_id").cast("long"), F.lit(5)) == 0
-    return view.filter(~test), view.filter(test)
-
-
-@q.query()
-def fraud_nb_scores(spark, sf_dir):
-    train, test = _fraud(spark)
-    p, n = counts.base_rates(train).first()
-    return q.rounded(naive_bayes.NaiveBayes.fit(counts.marginals(train, FRAUD), FRAUD, p, n).transform(test).select("report_id", "risk", "pred"))
-
-
-@q.query()
-def fraud_bn_scores(spark, sf_dir):
-    train, test = _fraud(spark)
-    p, n = counts.base_rates(train).first()
-    return q.rounded(naive_bayes.BayesNet.fit(counts.cpt(train, FRAUD), FRAUD, p, n).transform(test).select("report_id", "risk", "pred"))
-
-
-@q.query()
-def fraud_gnb_scores(spark, sf_dir):
-    train, test = _fraud(spark)
-    return q.rounded(naive_bayes.GaussianNaiveBayes.fit(counts.gaussian_stats(train, FRAUD.numeric)).transform(test).select("report_id", "risk", "pred"))
+@q.query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat('42:', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 50")
+def seeded_sample(spark, sf_dir):
+    return scan.sample(q.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 50, ["o_orderkey"], seed=42)
 
 
-@q.query()
-def generate_fraud_noisy(spark, sf_dir):
-    df = datagen.fraud(spark, 20_000, noisy=True)
-    return df.groupBy("fraud_type", (F.col("risk_level") >= 50).cast("int").alias("y")).agg(F.count("*").alias("cnt"))
+_POINTS = f"nbr AS (SELECT round(risk, 9) AS s, y FROM nb), pts AS (SELECT s, count(*) FILTER (WHERE y = 1) AS p, count(*) FILTER (WHERE y = 0) AS n FROM nbr GROUP BY s), cv AS (SELECT s, p, n, sum(p) OVER w AS tp, sum(n) OVER w AS fp FROM pts WINDOW w AS (ORDER BY s DESC ROWS UNBOUNDED PRECEDING)), al AS (SELECT sum(p) AS np, sum(n) AS nn FROM pts)"
+_WEIGHED = f"(SELECT {POPULATION_RATE}::DOUBLE / avg(y) AS wp, (1 - {POPULATION_RATE}::DOUBLE) / (1 - avg(y)) AS wn FROM pat WHERE c_custkey % 5 <> 0)"
 
 
-@q.query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(concat('42:', CAST(o_orderkey AS VARCHAR))), o_orderkey LIMIT 50")
-def seeded_sample(spark, sf_dir):
-    return scan.sample(q.read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), 50, ["o_orderkey"], seed=42)
+@q.query(f"""{_nb_sql(K)}, {_POINTS}, conf AS ({q.confusion_sql("nbr", f"s >= {REFER_AT}")}),
+ranks AS (SELECT {q._R("sum(n * (tp - p / 2.0::DOUBLE)) / (max(np) * max(nn))")} AS roc_auc, {q._R("sum(p * tp / (tp + fp)::DOUBLE) / max(np)")} AS pr_auc, {q._R("max(2 * tp / (tp + fp + np))")} AS f1_best FROM cv CROSS JOIN al),
+pop AS (SELECT {q._R("max(2 * wp * tp / (wp * tp + wn * fp + wp * np))")} AS f1_population, {q._R("sum(p * wp * tp / (wp * tp + wn * fp)) / max(np)")} AS pr_auc_population FROM cv CROSS JOIN al CROSS JOIN {_WEIGHED})
+SELECT *, {POPULATION_RATE}::DOUBLE AS population_rate, {REFER_AT}::DOUBLE AS threshold FROM conf CROSS JOIN ranks CROSS JOIN pop""")
+def screening_metrics_k11(spark, sf_dir):
+    """Referral metrics of naive Bayes under suppression, and its ranking at the population's rate of cases."""
+    view = patients(spark, sf_dir)
+    p, n = counts.base_rates(fitted(view)).first()
+    scored = screening_nb(fitted(view), K).transform(held_out(view)).select("y", F.round("risk", 9).alias("risk"))
+    return q.rounded(metrics.screening(scored, p / (p + n), POPULATION_RATE, REFER_AT))

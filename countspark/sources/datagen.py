@@ -1,6 +1,6 @@
-"""Synthetic record generators as DataFrame expressions: each row's draws come from hashes of its id and a seed.
+"""Synthetic record generators as DataFrame expressions: each row's draws come from digests of its id and a seed.
 
-So a row is the same however many rows or partitions there are, and a task that is run again makes the same rows.
+So a row is the same however many rows or partitions there are, a task that is run again makes the same rows, and SQL elsewhere can repeat them.
 """
 
 from __future__ import annotations
@@ -29,8 +29,32 @@ OUTCOME_DENSITY = {1: 0.70, 2: 0.90, 3: 1.15, 4: 1.60}
 
 
 def draw(seed: int, what: str) -> Column:
-    """A number from 0 up to 1 for the row's id."""
-    return F.pmod(F.xxhash64("id", F.lit(what), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    """A number from 0 up to 1 for the row's id: 52 bits of an MD5 digest."""
+    return _unit(F.concat_ws(":", F.lit(f"{seed}:{what}"), F.col("id").cast("string")))
+
+
+def _unit(text: Column) -> Column:
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
+def draw_sql(seed: int, what: str, id_: str = "id") -> str:
+    """draw() in DuckDB's dialect."""
+    return _unit_sql(f"'{seed}:{what}:' || CAST({id_} AS VARCHAR)")
+
+
+def _unit_sql(text: str) -> str:
+    return f"(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) / {float(1 << 52)}::DOUBLE)"
+
+
+def picked(keys: list[str], share: float, what: str, seed: int = 42) -> Column:
+    """Whether a row is one of a share of all rows, by a digest of its keys; a null key counts as an empty one."""
+    said = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys]
+    return _unit(F.concat_ws(":", F.lit(f"{seed}:{what}"), *said)) < share
+
+
+def picked_sql(keys: list[str], share: float, what: str, seed: int = 42) -> str:
+    said = " || ':' || ".join(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)
+    return f"({_unit_sql(f"'{seed}:{what}:' || {said}")} < {share}::DOUBLE)"
 
 
 def choice(u: Column, weights: dict) -> Column:
@@ -47,12 +71,28 @@ def whole(u: Column, low: int | Column, high: int | Column) -> Column:
     return (low + F.floor(u * (high - low + 1))).cast("int")
 
 
+def choice_sql(u: str, weights: dict) -> str:
+    total, at, out = sum(weights.values()), 0.0, []
+    for value, w in weights.items():
+        at += w / total
+        out.append(f"WHEN {u} < {at!r}::DOUBLE THEN {value!r}")
+    return f"CASE {' '.join(out)} ELSE {list(weights)[-1]!r} END"
+
+
+def whole_sql(u: str, low: int, high: int) -> str:
+    return f"CAST({low} + floor({u} * {high - low + 1}) AS INTEGER)"
+
+
 def fraud(spark: SparkSession, n: int, seed: int = 42, start: int = 1, noisy: bool = False, partitions: int | None = None) -> DataFrame:
-    """n fraud records with ids from start on; noisy: the type is drawn from the other class."""
+    """n fraud records with ids from start on."""
+    return fraud_of(spark.range(start, start + n, 1, partitions) if partitions else spark.range(start, start + n), seed, noisy)
+
+
+def fraud_of(rows: DataFrame, seed: int = 42, noisy: bool = False) -> DataFrame:
+    """A fraud record for each row (id); noisy: the type is drawn from the other class."""
     u = lambda what: draw(seed, what)
     high = u("class") < HIGH_SHARE
     typed = F.when(~high if noisy else high, choice(u("type"), HIGH_TYPES)).otherwise(choice(u("type"), LOW_TYPES))
-    rows = spark.range(start, start + n, 1, partitions) if partitions else spark.range(start, start + n)
     return rows.select(
         F.col("id").cast("string").alias("report_id"),
         F.format_string("BANK%03d", whole(u("bank"), 1, 50)).alias("reporting_bank_id"),
@@ -68,8 +108,25 @@ def fraud(spark: SparkSession, n: int, seed: int = 42, start: int = 1, noisy: bo
     )
 
 
+def fraud_sql(ids: str, seed: int = 42, noisy: bool = False) -> str:
+    """fraud_of() in DuckDB's dialect, without the account number; ids: a query that gives id."""
+    u = lambda what: draw_sql(seed, what)
+    high = f"{u('class')} < {HIGH_SHARE}::DOUBLE"
+    return f"""SELECT CAST(id AS VARCHAR) AS report_id, 'BANK' || lpad(CAST({whole_sql(u("bank"), 1, 50)} AS VARCHAR), 3, '0') AS reporting_bank_id,
+CASE WHEN {u("none")} < {NO_JURISDICTION}::DOUBLE THEN '' ELSE {choice_sql(u("reporting"), JURISDICTIONS)} END AS reporting_jurisdiction, {choice_sql(u("account"), JURISDICTIONS)} AS account_jurisdiction,
+CASE WHEN {high} THEN {whole_sql(u("level"), 50, 100)} ELSE {whole_sql(u("level"), 0, 49)} END AS risk_level,
+CASE WHEN {"NOT " if noisy else ""}({high}) THEN {choice_sql(u("type"), HIGH_TYPES)} ELSE {choice_sql(u("type"), LOW_TYPES)} END AS fraud_type,
+{choice_sql(u("year"), YEARS)} AS "year", {whole_sql(u("month"), 1, 12)} AS "month", {whole_sql(u("day"), 1, 28)} AS "day", CASE WHEN {u("active")} < {ACTIVE_SHARE}::DOUBLE THEN 'true' ELSE 'false' END AS is_active
+FROM ({ids})"""
+
+
 def screening(spark: SparkSession, n: int, seed: int = 42, start: int = 1, partitions: int | None = None) -> DataFrame:
-    """n screening records with ids from start on; the outcome follows the product of relative risks."""
+    """n screening records with ids from start on."""
+    return screening_of(spark.range(start, start + n, 1, partitions) if partitions else spark.range(start, start + n), seed)
+
+
+def screening_of(rows: DataFrame, seed: int = 42) -> DataFrame:
+    """A screening record for each row (id); the outcome follows the product of relative risks."""
     u = lambda what: draw(seed, what)
     shares = lambda table: {k: v[0] for k, v in table.items()}
 
@@ -77,7 +134,6 @@ def screening(spark: SparkSession, n: int, seed: int = 42, start: int = 1, parti
         low, high = (clinical.lookup(F.col(group), {k: v[i] for k, v in table.items()}, 0).cast("int") for i in (1, 2))
         return whole(u(what), low, high)
 
-    rows = spark.range(start, start + n, 1, partitions) if partitions else spark.range(start, start + n)
     base = rows.withColumns({"age_group": choice(u("age"), shares(AGES)), "menarche_category": choice(u("menarche"), shares(MENARCHE)), "birth": choice(u("birth"), shares(FIRST_BIRTH))})
     base = base.withColumns(
         {
