@@ -104,8 +104,13 @@ def linked(alike: DataFrame, least: float = 0.8, block: int = 2048) -> DataFrame
     bounds = [SAMPLES * k // n for k in range(n + 1)]
     band = F.posexplode(F.array(*[F.xxhash64(F.substring("fingerprint", 1 + s, e - s)) for s, e in zip(bounds, bounds[1:])])).alias("band", "key")
     keys = ["band", "key", "i", "j"]
-    shared = materialise(alike.select(band).groupBy("band", "key").count().filter("count > 1").select("band", "key"))
-    dealt = alike.select("fingerprint", band).join(shared, ["band", "key"])
+    # numbers for fingerprints find the keys that several share; the fingerprints themselves only go to these (a number of two only adds keys)
+    numbered = alike.select("fingerprint", F.xxhash64("fingerprint").alias("number"))
+    keyed = materialise(numbered.select("number", band))
+    shared = keyed.groupBy("band", "key").count().filter("count > 1").select("band", "key")
+    needed = materialise(keyed.join(shared, ["band", "key"]).groupBy("number").agg(F.collect_set(F.struct("band", "key")).alias("keys")))
+    drop(keyed)
+    dealt = numbered.join(needed, "number").select("fingerprint", F.explode("keys").alias("x")).select("fingerprint", "x.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in chunked(batches, keys, block):

@@ -159,7 +159,8 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """The rows of pieces, which have a column length from 1 to capacity, with sequence_id and offset.
 
     Equal lengths are interchangeable, so each length's rows are numbered: within salts, of which a length has as many as
-    the root of its count, from where the salts before end. Rows that are equal in all columns are interchangeable too.
+    the root of its count, from where the salts before end. Rows that are equal in all columns are interchangeable too, and share a salt:
+    give them a column that parts them where they may be many.
     An empty table gives an empty table. Pieces must not be recomputed differently between reads: pass a written table.
     """
     spark = pieces.sparkSession
@@ -211,4 +212,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     columns are not read.
     """
     parts = cut(token_ids(docs, path, end_id, id_col, text_col), capacity, id_col)
-    return pack(materialise(parts.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))), capacity)
+    turn = F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)).alias("_turn")  # written with the pieces; spreads those of equal rows over the salts
+    return pack(materialise(parts.select(id_col, "piece", "start", "length", F.crc32("ids").alias("ids_crc32"), turn)), capacity).drop("_turn")

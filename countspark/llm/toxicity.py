@@ -157,9 +157,11 @@ def fit(
                 yield pa.RecordBatch.from_arrays([part.column("digest"), part.column("toxic"), keys, counts], names=["digest", "toxic", "keys", "counts"])
 
     rows = texts.select("digest", "text").join(F.broadcast(chosen[0].union(chosen[1])), "digest").groupBy("digest", "toxic").agg(F.first("text").alias("text"))
-    got = rows.mapInArrow(run, "digest binary, toxic int, keys array<int>, counts array<int>").toArrow().sort_by("digest").combine_chunks()  # at most `sample` texts
-    drop(labelled)
-    return _fit(got, sizes, features, support)
+    gathered = rows.mapInArrow(run, "digest binary, toxic int, keys array<int>, counts array<int>")
+    try:
+        return _fit(gathered.toArrow().sort_by("digest").combine_chunks(), sizes, features, support)  # at most `sample` texts
+    finally:
+        drop(labelled)
 
 
 def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = None, support: float = 0.0) -> Severity:
@@ -171,6 +173,7 @@ def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = None, supp
     keys = got["keys"].combine_chunks().flatten().to_numpy().view(np.uint32)
     counts = got["counts"].combine_chunks().flatten().to_numpy()
     doc = np.repeat(np.arange(len(y), dtype=np.int32), got["keys"].combine_chunks().value_lengths().to_numpy())
+    del got  # as large as the sample's texts
     kept, n1 = np.unique(keys[y[doc] == 1], return_counts=True)
     enough = n1 >= support * y.sum()
     kept, n1 = kept[enough], n1[enough]
@@ -191,6 +194,7 @@ def _fit(got: pa.Table, sizes: dict[int, int], features: int | None = None, supp
     here = kept[at] == keys
     x = Rows(doc[here], at[here], np.log1p(counts[here].astype(float)), (len(y), len(kept)))
     index = {int(k): i for i, k in enumerate(kept)}
+    del keys, counts, doc, at, here
     w, _ = fit_ordinal(x, y.astype(np.int64), 1)
     telling_words = Rows(x.row, x.col, np.expm1(x.value), x.shape).scores((w > 0.5 * w.max()).astype(float)).round(6)
     cuts = np.quantile(telling_words[y == 1], [k / GRADES for k in range(1, GRADES)])
