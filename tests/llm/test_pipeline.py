@@ -50,3 +50,22 @@ def test_stages_keep_the_columns(spark):
             given = stage(spark, given, SF)
             assert given.columns == docs.columns
         assert corpus_pipeline.packed(spark, given, SF).columns[0] == "doc_id"
+
+
+def test_extra_columns_with_clashing_names(spark):
+    rows = [(k, f"text number {k} of all", "en", "s", 5, k, "x", b"y", 1.0) for k in range(6)] + [(6, "text number 5 of all", "en", "s", 5, 6, "x", b"y", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, id long, component_id string, same binary, length double")
+    given = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        given = stage(spark, given, SF)
+        assert given.columns == docs.columns
+    assert sorted(r.doc_id for r in given.collect()) == list(range(6))
+    assert corpus_pipeline.packed(spark, given, SF).count() == 6
+
+
+def test_rows_of_one_id_in_several_groups(spark):
+    """No document of its own is lost, and no copy stays, whatever the ids are."""
+    texts = {k: " ".join(f"{k}{i}" for i in range(80)) for k in "abc"}
+    rows = [(7, "a"), (7, "b"), (1, "b"), (8, "c"), (None, "c"), (9, "a")]
+    docs = spark.createDataFrame([(i, texts[t], "en", "s", n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.n_chars for r in corpus_pipeline.without_copies(spark, docs, SF).collect()) == [0, 2, 3]
