@@ -89,6 +89,33 @@ class Timings:
         return df.groupBy("step").agg(F.count("*").alias("n"), F.min(s).alias("least"), F.avg(s).alias("mean"), F.max(s).alias("most"), F.sum(s).alias("total"), F.percentile(s, 0.5).alias("p50"), F.percentile(s, 0.95).alias("p95"))
 
 
+def side_by_side(rows: DataFrame, measures: list[str], model: str = "model", first: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """(by, metric, a column for each model, delta, best): metrics of models as a table, one row for each metric.
+
+    rows: a row for each model (and each value of by), as comparison() gives. delta: the largest distance of a model from the first one; best: the models
+    that share the largest value, in alphabetical order. As many rows come to the driver as there are models.
+    """
+    models = sorted(r[0] for r in rows.select(model).distinct().collect())
+    models = [first, *[m for m in models if m != first]] if first else models
+    tall = rows.unpivot([*(by or []), model], measures, "metric", "value")
+    wide = tall.groupBy(*(by or []), "metric").pivot(model, models).agg(F.first("value"))
+    others = [F.abs(F.col(m) - F.col(models[0])) for m in models[1:]]
+    most = F.greatest(*[F.col(m) for m in models]) if len(models) > 1 else F.col(models[0])
+    best = F.array_join(F.array_sort(F.array_compact(F.array(*[F.when(F.col(m) == most, F.lit(m)) for m in models]))), ",")
+    delta = F.greatest(*others) if len(others) > 1 else others[0] if others else F.lit(0.0)
+    return wide.select(*(by or []), "metric", *models, delta.alias("delta"), best.alias("best"))
+
+
+def training_summary(splits: dict[str, DataFrame], features: list[str], label: str = "y") -> DataFrame:
+    """(split, n, n_pos, share_pos, n_features, n_values): what models are trained and tested on, one row for each table."""
+    out = None
+    for name, df in splits.items():
+        row = df.agg(F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("n_pos"), *[F.count_distinct(f).alias(f"_{i}") for i, f in enumerate(features)])
+        row = row.select(F.lit(name).alias("split"), "n", "n_pos", F.try_divide(F.col("n_pos").cast("double"), F.col("n")).alias("share_pos"), F.lit(len(features)).alias("n_features"), sum((F.col(f"_{i}") for i in range(len(features))), F.lit(0)).alias("n_values"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def html(df: DataFrame, title: str = "", digits: int = 4, most: int = 1000) -> str:
     """A report table as HTML; larger tables than a report's are refused."""
     rows = df.limit(most + 1).collect()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import combinations
@@ -16,6 +17,7 @@ from countspark.operators.models import histogram, linear, naive_bayes, trees
 from countspark.plans import model_sql
 from countspark.plans.spec import RISK, DatasetSpec, risk_view, test_of, train_of
 from countspark.sources import datagen, records, scan
+from countspark.sources.scratch import shared_folder
 from countspark.streaming import counts as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -833,14 +835,8 @@ def stream_windows(spark, sf_dir):
 
 
 def _drained(spark, counted: DataFrame) -> DataFrame:
-    import tempfile
-    import uuid
-
-    name = f"stream_{uuid.uuid4().hex}"
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/countspark-scratch"
-    return streams.drain(counted, name, f"{root.rstrip('/')}/{name}")
+    at = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    return streams.settle(counted, f"{at}/table", f"{at}/checkpoint")
 
 
 # ---- baselines and reports
@@ -905,12 +901,12 @@ def url_neighbours(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    from countspark.plans import fraud, screening  # noqa: F401  (these register their queries)
+    from countspark.plans import fraud, screening, tables  # noqa: F401  (these register their queries)
 
     return dict(_TABLES)
 
 
 def oracle_sql() -> dict[str, str]:
-    from countspark.plans import fraud, screening  # noqa: F401
+    from countspark.plans import fraud, screening, tables  # noqa: F401
 
     return dict(_SQL)

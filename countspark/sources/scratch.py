@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -36,3 +37,38 @@ def written(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     atexit.register(delete, spark, path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def exclusive(spark: SparkSession, path: str, said: str) -> bool:
+    """Create a file that nobody else has created, and write into it; False if it is there already."""
+    jvm = spark.sparkContext._jvm
+    fs, where = filesystem(spark, path)
+    fs.mkdirs(where.getParent())
+    local = fs.getUri().getScheme() == "file"  # whose create() looks first and creates then
+    if local and not jvm.java.io.File(where.toUri().getPath()).createNewFile():
+        return False
+    try:
+        out = fs.create(where, local)
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in str(e.java_exception) or "AlreadyBeingCreated" in str(e.java_exception):
+            return False
+        raise
+    out.writeBytes(said)
+    out.close()
+    return True
+
+
+def text_of(spark: SparkSession, path: str) -> str:
+    """What a small file holds."""
+    fs, where = filesystem(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, in order; none if it isn't there."""
+    fs, where = filesystem(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []

@@ -40,6 +40,14 @@ def drain(counted: DataFrame, table: str, checkpoint: str, mode: str = "complete
     return counted.sparkSession.table(table)
 
 
+def settle(counted: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there now, into a table of files that holds the whole result: as large as the result may grow, and none of it on the driver."""
+    write = lambda rows, _: rows.write.mode("overwrite").parquet(path)
+    query = counted.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return counted.sparkSession.read.schema(counted.schema).parquet(path)
+
+
 def sink(counted: DataFrame, path: str, checkpoint: str):
     """Append closed windows to Parquet, exactly once; start it again with the same checkpoint to go on."""
     return counted.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
