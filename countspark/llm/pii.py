@@ -291,7 +291,9 @@ def find(texts: list[str], field: Field) -> list[tuple[list[Span], list[Span]]]:
 def spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) for every row: arrays of (kind, start, end) in code points, end exclusive, by kind, then start.
 
-    base holds the patterns' spans; spans holds these and those that the field adds. A null text counts as empty: no spans.
+    base holds the patterns' spans; spans holds these and those that the field adds. A null text counts as empty: no spans. Repeated rows get equal
+    spans, as each document settles by itself. Of equally believed kinds the first one counts. A very long text takes time by its tokens with a digit or
+    an at sign times the rounds until it settles; an empty table gives no row; other columns, whatever their names, are not read.
     """
     ship(docs.sparkSession)
     one = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])

@@ -109,7 +109,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     text is without quotes. parent_turn is the turn it replies to, null where it quotes none; root_turn is the first turn
     above it, or its own; depth is the number of replies from there. Rows are sorted by conv_id, root_turn, depth and turn.
     A null text stays null and quotes nothing. Rows without a conv_id or a turn quote nothing and are not quoted. Rows that share
-    conv_id and turn are one message in several parts: they have one parent, for which each part votes. Other columns are not read.
+    conv_id and turn are one message in several parts: they have one parent, for which each part votes. Of equally voted originals the first turn
+    is the parent. A very long message is its lines' rows; an empty table gives no row; other columns, whatever their names, are not read.
     """
     rows = messages.select("conv_id", "turn", "role", "text")
     linked = materialise(links(rows.filter("conv_id is not null and turn is not null")))

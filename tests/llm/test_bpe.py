@@ -73,6 +73,16 @@ def test_query(spark, tmp_path, theirs):
     assert got == sorted(want)
 
 
+def test_very_long_texts(spark, tmp_path, theirs):
+    texts = ["word and more " * 40_000, "x" * 200_000, " " * 100_000, "é日本 " * 30_000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_tokens, r.decoded_sha256) for r in queries.op1_bpe(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        assert got[i][1] == hashlib.sha256(t.encode()).hexdigest()
+        if i != 1:  # one match of 200,000 equal letters is quadratic in the other library
+            assert got[i][0] == len(theirs.encode_ordinary(t))
+
+
 def test_empty_table_and_clashing_columns(spark, tmp_path):
     from countspark.llm import queries
 
