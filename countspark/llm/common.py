@@ -29,12 +29,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (root or f"file://{tempfile.gettempdir()}/countspark-scratch").rstrip("/") + "/countspark"
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new path in the shared folder, whose files are deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: it cuts the lineage, and a lost executor costs no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    path = scratch_path(spark)
     df.write.parquet(path)
-    atexit.register(_delete, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._countspark_path = path
     return out

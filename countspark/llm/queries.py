@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from countspark.llm import bpe, edit_embedding, embeddings, fim, importance, packing, pii, quotes, sharding, simhash, token_counts, toxicity, wrapper
-from countspark.llm.common import table
+from countspark.llm.common import scratch_path, table
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +26,15 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places, _ = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
-    return places.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    """Placed by version 1 of a stored map; next_shard is where version 2, edited for one more shard, would put the row."""
+    places, first = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    maps = scratch_path(spark)
+    sharding.write_map(first, maps)
+    sharding.write_map(sharding.grow(sharding.read_map(spark, maps), 16), maps)
+    after = sharding.read_map(spark, maps, 2).select("virtual_slot", F.col("shard").alias("next_shard"))
+    return places.join(F.broadcast(after), "virtual_slot").select(  # a row for each slot
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard"
+    )
 
 
 def op4_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ def test_query(spark, tmp_path):
     want = Counter((i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, _ in rows)
     assert Counter((r.doc_id, r["size"], r.text_crc32) for r in got) == want
     assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+    assert all(r.next_shard in (r.shard, 16) for r in got) and {r.next_shard for r in got} == set(range(17))
     places = defaultdict(list)
     load = Counter()
     for r in got:
