@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from countspark.llm.common import ship
+from countspark.llm.common import at_work, keeps, ship
 from countspark.llm.split import byte_bpe_pieces
 
 CACHE = 80_000_000  # bytes, about, of pieces and ids that a worker keeps
@@ -182,6 +182,14 @@ def _encoder(path: str, pattern: str) -> tuple[Callable[[str], list[str]], _Pack
     return byte_bpe_pieces(pattern), _Packed(load(path))
 
 
+def _forget() -> None:
+    load.cache_clear()
+    _encoder.cache_clear()
+
+
+keeps("bpe", _forget)
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids) for every row: ids are the text's tokens as little-endian unsigned 32-bit integers.
 
@@ -191,6 +199,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("bpe")
         pieces, packed = _encoder(path, pattern)
         for batch in batches:
             ids = [b"".join(map(packed.__getitem__, pieces(t.as_py() or ""))) for t in batch.column(1)]
@@ -208,6 +217,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = T.StructType([*encoded.schema.fields, T.StructField("decoded", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("bpe")
         bpe = load(path)
         for batch in batches:
             out = [None if x.as_py() is None else bpe.decode(np.frombuffer(x.as_py(), "<u4").tolist()) for x in batch.column("ids")]

@@ -3,18 +3,39 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
 import warnings
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
+_CACHES: dict[str, Callable[[], None]] = {}
+_AT_WORK = [""]
+
+
+def keeps(owner: str, clear: Callable[[], None]) -> None:
+    """Say how to clear what an operator keeps in a Python worker from task to task."""
+    _CACHES[owner] = clear
+
+
+def at_work(owner: str) -> None:
+    """Called where an operator's task begins: what other operators have kept in this worker is let go, so that it holds the caches of one at a time."""
+    if _AT_WORK[0] != owner:
+        _AT_WORK[0] = owner
+        for name, clear in _CACHES.items():
+            if name != owner:
+                clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -196,7 +196,8 @@ def near_duplicates(
     included; kept: whether that is its own. Vectors that are null, empty or zero, or hold a null or a number that isn't finite, link with
     nothing; so do vectors of different lengths. Rows link by their vectors, whatever their ids: rows that share an id have
     their own links, and rows without one link like any other and get the smallest id of their component, or null where
-    there is none; kept is null for them. Ids may be of any type with an order. Other columns are not read.
+    there is none; kept is null for them. Ids may be of any type with an order. An empty table gives no row, very long vectors cost memory by
+    their length, and other columns, whatever their names, are not read.
 
     nearest, most_cells and deviations trade recall for work; nearest=None, deviations=None computes every pair, in blocks.
     """
@@ -215,7 +216,7 @@ def near_duplicates(
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).mapInArrow(read, f"id {id_kind}, key binary, vector binary")
     rows = materialise(rows)
     classes = materialise(rows.filter("key is not null").groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("vector").alias("vector")))
-    keys = ["dim", "cell", "i", "j"]
+    keys, past = ["dim", "cell", "i", "j"], []
     if nearest is None:
         dealt = classes.select((F.octet_length("vector") / width).cast("int").alias("dim"), F.lit(0).alias("cell"), "key", F.lit(b"\0" * 4).alias("cells"), "copies", "vector")
     else:
@@ -252,12 +253,14 @@ def near_duplicates(
                 hit = hopeful(codes, part["factor"].to_numpy(), d, least, deviations, part["own"].to_numpy() if i != j else None)
                 yield from part.select(["dim", "cell", "key", "cells"]).filter(pa.array(hit)).combine_chunks().to_batches()
 
-        dealt = materialise(classes.select("key", "vector").mapInArrow(deal, "dim int, cell int, key binary, cells binary, code binary, factor double"))
+        coded = materialise(classes.select("key", "vector").mapInArrow(deal, "dim int, cell int, key binary, cells binary, code binary, factor double"))
         if deviations is None:
-            found = dealt.select("dim", "cell", "key", "cells")
+            found = coded.select("dim", "cell", "key", "cells")
         else:
-            met = blocked(dealt, ["dim", "cell"], "key", block).repartition(*keys).sortWithinPartitions(*keys)
+            met = blocked(coded, ["dim", "cell"], "key", block).repartition(*keys).sortWithinPartitions(*keys)
             found = materialise(met.mapInArrow(hope, "dim int, cell int, key binary, cells binary").distinct())
+            past.append(found)
+        past.append(coded)
         dealt = found.join(classes.select("key", "copies", "vector"), "key").select("dim", "cell", "key", "cells", "copies", "vector")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -268,6 +271,7 @@ def near_duplicates(
             yield pa.RecordBatch.from_arrays([named.take(pa.array(hit)), named.take(pa.array(label[hit])), pa.array(links[hit])], names=["a", "b", "n"])
 
     dealt = materialise(dealt)
+    drop(*past)
     tasks = blocked(dealt, ["dim", "cell"], "key", block).repartition(*keys).sortWithinPartitions(*keys)
     found = materialise(tasks.mapInArrow(link, "a binary, b binary, n long"))
     totals = materialise(found.groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "key"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from countspark.llm.common import materialise, ship
+from countspark.llm.common import at_work, keeps, materialise, ship
 from countspark.llm.split import usual, word_bpe_pieces
 
 CACHE = 100_000_000  # bytes, about, of pieces and ids that a worker keeps
@@ -66,12 +66,16 @@ def _tokenizer(path: str) -> _WordIds:
     return _WordIds(path)
 
 
+keeps("packing", _tokenizer.cache_clear)
+
+
 def token_ids(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids binary): each text's ids as little-endian unsigned 32-bit integers, then end_id. A null text counts as empty."""
     ship(docs.sparkSession)
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("packing")
         tokenizer = _tokenizer(path)
         for batch in batches:
             ids = [tokenizer.ids(t.as_py() or "") + end for t in batch.column(1)]
@@ -186,6 +190,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("packing")
         length, first, _, to, each, offset = shared.value.T
         # One sorted key for the pair: where a length's segments begin, and the rank in them.
         lengths, starts = np.unique(length, return_index=True)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countspark.llm.common import ship
+from countspark.llm.common import at_work, ship
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE = 4000  # different texts that a fit reads: those with a digit or an at sign, in the order of a hash of the text
@@ -212,6 +212,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE, agreement
     texts = marked.join(F.broadcast(chosen), "hash").groupBy("hash").agg(F.first("text").alias("text")).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("pii")
         for batch in batches:
             texts = batch.column("text").to_pylist()
             nodes = nodes_of(texts)
@@ -299,6 +300,7 @@ def spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
     one = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("pii")
         for batch in batches:
             found = [x for i in range(0, batch.num_rows, 512) for x in find([t.as_py() or "" for t in batch.column(1).slice(i, 512)], field)]
             columns = [pa.array([[{"kind": KINDS[k], "start": s, "end": e} for k, s, e in x[j]] for x in found], pa.list_(one)) for j in (0, 1)]
@@ -330,6 +332,7 @@ def redact(docs: DataFrame, field: Field, text_col: str = "text", length_col: st
     length = docs.columns.index(length_col) if length_col in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("pii")
         for whole in batches:
             for i in range(0, whole.num_rows, 512):
                 batch = whole.slice(i, 512)

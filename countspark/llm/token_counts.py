@@ -15,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countspark.llm.common import ship
+from countspark.llm.common import at_work, keeps, ship
 
-CACHE = 50_000_000  # characters of words whose lengths a worker keeps, and as much for each word as 64 of them
+CACHE = 30_000_000  # characters of words whose lengths a worker keeps, and as much for each word as 64 of them
 _UNKNOWN = 1 << 40  # added to the count of a word that the vocabulary can't spell
 _START, _INSIDE = 0, 1  # the roots for the beginning of a word and for what follows in it
 
@@ -105,6 +105,9 @@ def _lengths(path: str) -> _Lengths:
     return _Lengths(load(path))
 
 
+keeps("token_counts", _lengths.cache_clear)
+
+
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_unknown, n_tokens) for every row: words are what white space parts.
 
@@ -114,6 +117,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("token_counts")
         lengths = _lengths(path)
         for batch in batches:
             words, unknown, tokens = [], [], []

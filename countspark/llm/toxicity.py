@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from countspark.llm.common import drop, materialise, ship
+from countspark.llm.common import at_work, drop, materialise, ship
 
 SAMPLE = 7000  # different labelled texts that a fit reads, in the order of their digests
 TOXIC_SHARE = 0.25  # of the sample that toxic texts may take
@@ -28,7 +28,7 @@ TELLING = (2.0, 1.0, 0.0)  # standard errors that a feature's log odds are above
 RIDGE = 1e-3
 GRADES = 3  # grades above 0
 _WORD = re.compile(r"\w+")
-_CACHE = 40_000_000  # characters of words, and as much for each word as 64 of them
+_CACHE = 10_000_000  # characters of words, and as much for each word as 64 of them
 
 
 def word_features(word: str) -> set[int]:
@@ -148,6 +148,7 @@ def fit(
     chosen = [labelled.filter(F.col("toxic") == y).orderBy("digest").limit(n) for y, n in ((1, quota), (0, sample - quota))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity")
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
@@ -228,6 +229,7 @@ def grade(docs: DataFrame, model: Severity, id_col: str = "doc_id", text_col: st
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity")
         hits = _Hits(model.index)
         for batch in batches:
             over = model.over(np.array([_score(model, hits, t.as_py() or "") for t in batch.column(1)], float))
@@ -247,6 +249,7 @@ def drop_toxic(docs: DataFrame, model: Severity, text_col: str = "text") -> Data
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_work("toxicity")
         hits = _Hits(model.index)
         for batch in batches:
             over = model.over(np.array([_score(model, hits, t.as_py() or "") for t in batch.column(at)], float))
