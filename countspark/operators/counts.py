@@ -82,15 +82,28 @@ def parent_state(spec: DatasetSpec, feature: str) -> Column:
 
 def cpt(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     """(feature, parent_state, value, n_pos, n_neg) for every state of the parents' domains and value of the feature's."""
-    cells = F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), parent_state(spec, f).alias("parent_state"), F.col(f).alias("value")) for f in spec.features])).alias("x")
-    seen = spec.prepared(df).select(spec.label, cells).groupBy("x.feature", "x.parent_state", "x.value").agg(_pos(spec.label), _neg(spec.label))
+    seen = spec.prepared(df).select(spec.label, _cells(spec)).groupBy("x.feature", "x.parent_state", "x.value").agg(_pos(spec.label), _neg(spec.label))
+    return _every_cell(seen, spec)
+
+
+def cpt_of_cube(counts: DataFrame, spec: DatasetSpec) -> DataFrame:
+    """cpt() from a cube."""
+    seen = counts.select("n_pos", "n_neg", _cells(spec)).groupBy("x.feature", "x.parent_state", "x.value").agg(F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    return _every_cell(seen, spec)
+
+
+def _cells(spec: DatasetSpec) -> Column:
+    return F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), parent_state(spec, f).alias("parent_state"), F.col(f).alias("value")) for f in spec.features])).alias("x")
+
+
+def _every_cell(seen: DataFrame, spec: DatasetSpec) -> DataFrame:
     every = []
     for f in spec.features:
         states = [""]
         for k, p in enumerate(spec.parents.get(f, ())):
             states = [s + (STATE if k else "") + f"{p}={v}" for s in states for v in spec.domains[p]]
         every += [(f, s, v) for s in states for v in spec.domains[f]]
-    cells = df.sparkSession.createDataFrame(every, "feature string, parent_state string, value string")  # as large as the declared domains
+    cells = seen.sparkSession.createDataFrame(every, "feature string, parent_state string, value string")  # as large as the declared domains
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
     return cells.join(seen, ["feature", "parent_state", "value"], "left").select("feature", "parent_state", "value", zero("n_pos"), zero("n_neg"))
 

@@ -146,9 +146,7 @@ def fraud_nb_scores(spark, sf_dir):
 
 @q.query(BN_SQL)
 def fraud_bn_scores(spark, sf_dir):
-    train, test = splits(spark, sf_dir)
-    p, n = counts.base_rates(train).first()
-    return _scores(naive_bayes.BayesNet.fit(counts.cpt(train, FRAUD), FRAUD, p, n).transform(test))
+    return _from_cube(spark, sf_dir, lambda cube, p, n: naive_bayes.BayesNet.fit(counts.cpt_of_cube(cube, FRAUD), FRAUD, p, n))
 
 
 @q.query(gaussian_sql(BASE, _SUMS, FRAUD.numeric, "o_orderkey", "SELECT * FROM tot"))

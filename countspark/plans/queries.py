@@ -361,9 +361,8 @@ def bn_cpt(spark, sf_dir):
 
 
 def fitted_bn(spark, sf_dir) -> naive_bayes.BayesNet:
-    train = train_of(risk_view(spark, sf_dir))
-    r = counts.base_rates(train).first()
-    return naive_bayes.BayesNet.fit(counts.cpt(train, RISK), RISK, r["n_pos"], r["n_neg"])
+    with held(train_cube(spark, sf_dir)) as cube:  # one join for the tables and the class totals
+        return naive_bayes.BayesNet.fit(counts.cpt_of_cube(cube, RISK), RISK, *totals(cube))
 
 
 @query(
