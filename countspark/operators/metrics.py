@@ -29,7 +29,7 @@ def confusion(scored: DataFrame, pred: Column, label: str = "y", by: list[str] |
 
 
 def curve(scored: DataFrame, score: Column, label: str = "y", slices: int = 64) -> DataFrame:
-    """(score, p, n, tp, fp): the labels at each distinct score, and at it or above.
+    """(score, p, n, tp, fp, all_pos, all_neg): the labels at each distinct score, at it or above, and in all.
 
     Scores are counted first. The running sums are taken within slices of the score range, and on top of the sums of the
     slices above, so no task sorts all distinct scores.
@@ -38,24 +38,25 @@ def curve(scored: DataFrame, score: Column, label: str = "y", slices: int = 64)
     cut = at.withColumn("slice", F.floor(F.least(F.greatest(F.col("score"), F.lit(0.0)), F.lit(1.0)) * slices).cast("int"))
     above = Window.partitionBy(F.lit(0)).orderBy(F.desc("slice")).rowsBetween(Window.unboundedPreceding, -1)
     sums = cut.groupBy("slice").agg(F.sum("p").alias("sp"), F.sum("n").alias("sn"))
-    base = sums.select("slice", F.coalesce(F.sum("sp").over(above), F.lit(0)).alias("bp"), F.coalesce(F.sum("sn").over(above), F.lit(0)).alias("bn"))
+    every = Window.partitionBy(F.lit(0))  # as many rows as slices
+    before = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
+    base = sums.select("slice", before("sp").alias("bp"), before("sn").alias("bn"), F.sum("sp").over(every).alias("all_pos"), F.sum("sn").over(every).alias("all_neg"))
     upto = Window.partitionBy("slice").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ran = cut.withColumn("tp", F.sum("p").over(upto)).withColumn("fp", F.sum("n").over(upto))
-    return ran.join(F.broadcast(base), "slice").select("score", "p", "n", (F.col("tp") + F.col("bp")).alias("tp"), (F.col("fp") + F.col("bn")).alias("fp"))
+    return ran.join(F.broadcast(base), "slice").select("score", "p", "n", (F.col("tp") + F.col("bp")).alias("tp"), (F.col("fp") + F.col("bn")).alias("fp"), "all_pos", "all_neg")
 
 
 def ranking(points: DataFrame) -> DataFrame:
     """One row (roc_auc, pr_auc, f1_best) from curve(); all null where one class is absent."""
     sums = points.agg(
-        F.sum("p").cast("double").alias("P"), F.sum("n").cast("double").alias("N"),
+        F.max("all_pos").cast("double").alias("pos"), F.max("all_neg").cast("double").alias("neg"),
         F.sum(F.col("n").cast("double") * (F.col("tp") - F.col("p") / 2)).alias("a"),
         F.sum(F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))).alias("ap"),
+        F.max(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("all_pos"))).alias("f1"),
     )
-    both = (F.col("P") > 0) & (F.col("N") > 0)
-    total = points.agg(F.sum("p").alias("P_all"))
-    best = points.join(F.broadcast(total)).agg(F.max(2 * F.col("tp") / (F.col("tp") + F.col("fp") + F.col("P_all"))).alias("f1"))
-    return sums.join(F.broadcast(best)).select(
-        F.when(both, F.col("a") / (F.col("P") * F.col("N"))).alias("roc_auc"), F.when(both, F.col("ap") / F.col("P")).alias("pr_auc"), F.when(both, F.col("f1")).alias("f1_best")
+    both = (F.col("pos") > 0) & (F.col("neg") > 0)
+    return sums.select(
+        F.when(both, F.col("a") / (F.col("pos") * F.col("neg"))).alias("roc_auc"), F.when(both, F.col("ap") / F.col("pos")).alias("pr_auc"), F.when(both, F.col("f1")).alias("f1_best")
     )
 
 
@@ -82,8 +83,7 @@ def at_population_rate(points: DataFrame, cohort_rate: float, population_rate: f
     """
     wp, wn = population_rate / cohort_rate, (1 - population_rate) / (1 - cohort_rate)
     tp, fp = wp * F.col("tp"), wn * F.col("fp")
-    whole = points.agg(F.sum("p").alias("all_pos"), F.sum("n").alias("all_neg"))
-    found = points.join(F.broadcast(whole)).agg(  # one row
+    found = points.agg(
         F.max(2.0 * tp / (tp + fp + wp * F.col("all_pos"))).alias("f1"), F.sum(F.col("p") * tp / (tp + fp)).alias("area"), F.max("all_pos").alias("pos"), F.max("all_neg").alias("neg")
     )
     both = (F.col("pos") > 0) & (F.col("neg") > 0)
