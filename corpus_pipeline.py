@@ -15,7 +15,8 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document, the one with the smallest id, of each group of near-duplicates: operator 8's index links SimHashes of five-word shingles, min-hash
+    bands what these are too short for, and a Jaccard similarity of 0.8 or more, verified, decides."""
     return simhash.keep_one(docs, find=shingles.near_duplicates)
 
 

@@ -6,6 +6,9 @@ shares one but for 7 in a million, a pair at 0.9 always, in effect. Within a gro
 at most BITS bits apart, of which those whose min-hashes agree as often as 0.8 makes likely (ALIKE of all: 3 in a million
 fall below) are verified on all their shingles, of which 64-bit digests stand in for the words.
 
+Before all that, operator 8's index links SimHashes at most 4 bits apart, and these links are verified in the same way; what they connect
+needs no further pair. Bands are for the rest.
+
 A band's group is a star first: every member against one other, at first the one that meets the most texts in its groups, which
 for edited copies is the text that they come from. What these links connect needs no further pair; only
 members of a group that are still in different components meet all others. So a large group of copies costs as many pairs as it has rows.
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from countspark.llm.common import at_work, blocked, components, drop, materialise, ship
-from countspark.llm.simhash import LOWER, QUERIES, GrayIndex, chunked, gray_rank, local_roots, majority
+from countspark.llm.simhash import LOWER, QUERIES, GrayIndex, chunked, gray_rank, links, local_roots, majority
 
 SHINGLE = 5
 BANDS, PER_BAND = 30, 5
@@ -188,6 +191,17 @@ def _alike(members: DataFrame, texts: DataFrame, block: int = BLOCK, exact: bool
     return _dealt(members.join(texts, "same"), block).mapInArrow(run, "a binary, b binary")
 
 
+def _simhash_pairs(first: DataFrame) -> DataFrame:
+    """Pairs (a, b) of texts that operator 8's index links by their SimHashes: one text of each SimHash with its others, and with one of each that it is linked to."""
+    of = materialise(first.groupBy("fp").agg(F.min("same").alias("one")))
+    near = links(of.select("fp"))
+    ends = near.join(of.select(F.col("fp").alias("a"), F.col("one").alias("x")), "a").join(of.select(F.col("fp").alias("b"), F.col("one").alias("y")), "b").select("x", "y")
+    equal = first.select("fp", "same").join(of, "fp").filter("same <> one").select(F.col("one").alias("x"), F.col("same").alias("y"))
+    pairs = materialise(ends.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    drop(of)
+    return pairs
+
+
 def _names(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
 
@@ -238,12 +252,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     shared = materialise(keyed.groupBy("key").count().filter("count > 1"))
     met = keyed.join(shared, "key").groupBy("number").agg(F.collect_set(F.struct("key", "count")).alias("keys"))  # as many as a text has bands
     needed = materialise(numbered.join(met, "number").withColumn("met", F.aggregate("keys", F.lit(0).cast("long"), lambda s, x: s + x["count"])))
+    linked = _simhash_pairs(first)
+    ours = needed.select("same").union(linked.select("a")).union(linked.select("b"))
+    texts = materialise(_once(given.select("same", "text")).join(ours, "same", "left_semi").groupBy("same").agg(F.first("text").alias("text")))
+    edges = materialise(_verified(linked, texts))
+    roots = materialise(components(edges).withColumnRenamed("node", "same").withColumnRenamed("component", "root"))
     each = needed.select("same", "n", "met", "bands", F.explode("keys.key").alias("key")).withColumn("band", F.array_position("bands", F.col("key")).cast("int") - 1)
-    open_ = materialise(each.filter("band >= 0").select("key", "band", "same", "n", "met", F.col("same").alias("component")))
-    drop(keyed, shared)
-    texts = materialise(_once(given.select("same", "text")).join(needed.select("same"), "same", "left_semi").groupBy("same").agg(F.first("text").alias("text")))
-    drop(needed)
-    edges = materialise(docs.sparkSession.createDataFrame([], "a binary, b binary"))
+    rooted = each.filter("band >= 0").join(roots, "same", "left")
+    open_ = materialise(rooted.select("key", "band", "same", "n", "met", F.coalesce("root", "same").alias("component")))
+    drop(keyed, shared, needed, linked, roots)
     for turn in range(stars):
         order = F.struct(F.col("met") if turn == 0 else F.lit(0), F.xxhash64("same", F.lit(turn)))
         center = open_.groupBy("key").agg(F.max_by(F.struct("same", "n", "component"), order).alias("c"))

@@ -158,3 +158,20 @@ def test_blocks_lose_no_pair(spark):
     want = slow_components(list(enumerate(texts)))
     assert len(set(want.values())) < 150
     assert {i: got.get(bytes([i]), bytes([i])) for i in want} == {i: bytes([r]) for i, r in want.items()}
+
+
+def test_simhash_links_without_any_band(spark, monkeypatch):
+    """Operator 8's index is a step of its own: near copies are found where no min-hash band agrees, and SimHashes alone link nothing."""
+    rng = np.random.default_rng(14)
+    rows = []
+    for _ in range(20):
+        base = [f"w{x}" for x in rng.integers(0, 9000, 400)]
+        rows += [" ".join(base), edited(rng, base, 1)]
+    fps = [shingles.majority(shingles.shingles(t.encode())) for t in rows]
+    near = [(fps[i] ^ fps[i + 1]).bit_count() <= 4 for i in range(0, len(rows), 2)]
+    assert sum(near) >= 5
+    signed = shingles._signed
+    monkeypatch.setattr(shingles, "_signed", lambda docs, exact=False: signed(docs, exact).selectExpr("id", "same", "n", "transform(bands, x -> xxhash64(x, same)) as bands", "fp", "sketch"))
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in shingles.near_duplicates(df).collect()}
+    assert got == {i: i - (i % 2 and near[i // 2]) for i in range(len(rows))}
