@@ -24,6 +24,7 @@ from countspark.llm.common import at_work, keeps, materialise, ship
 from countspark.llm.split import usual, word_bpe_pieces
 
 CACHE = 100_000_000  # bytes, about, of pieces and ids that a worker keeps
+ROWS = 256  # whose ids are held together: a batch of Spark's has 10,000 texts
 ENTRY = 180  # bytes that an entry takes beside its characters and ids
 
 
@@ -77,7 +78,7 @@ def token_ids(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("packing")
         tokenizer = _tokenizer(path)
-        for batch in batches:
+        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
             ids = [tokenizer.ids(t.as_py() or "") + end for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
 
