@@ -844,8 +844,7 @@ def _drained(spark, counted: DataFrame) -> DataFrame:
 def _baseline(kind: str) -> Query:
     def run(spark, sf_dir):
         view = risk_view(spark, sf_dir).select(*KEYS, "y", *FEATURES)
-        with held(train_of(view)) as train:
-            model = baselines.fit(kind, train, RISK)
+        model = baselines.fit(kind, train_of(view), RISK)
         return rounded(baselines.transform(model, test_of(view), RISK).select(*KEYS, *([] if kind == "svm" else ["risk"]), "pred"))
 
     run.__name__ = f"baseline_{kind}"

@@ -314,6 +314,21 @@ def test_empty_cube(spark):
         naive_bayes.NaiveBayes.fit(counts.marginals(empty, SPEC), SPEC, 0, 0)
 
 
+@pytest.mark.parametrize("kind", ["tree", "logistic", "svm"])
+def test_baselines_fit_cells(df, kind, monkeypatch):
+    """A fit sees each different row once, with its weight, and decides as one on all rows does."""
+    from pyspark.ml import Pipeline
+
+    sizes, fitted = [], Pipeline._fit
+    monkeypatch.setattr(Pipeline, "_fit", lambda self, rows: sizes.append(rows.count()) or fitted(self, rows))
+    by_cells = baselines.fit(kind, df, SPEC)
+    monkeypatch.setattr(baselines, "WEIGHTED", ())
+    by_rows = baselines.fit(kind, df, SPEC)
+    assert sizes == [df.select("y", *SPEC.features).distinct().count(), df.count()]
+    a, b = ([r.pred for r in baselines.transform(m, df, SPEC).orderBy("i").collect()] for m in (by_cells, by_rows))
+    assert a == b
+
+
 def test_baselines_agree(df, rows):
     p, n = totals(rows)
     ours = scored(trees.decision_tree(counts.cube(df, SPEC).persist(), SPEC, p, n), df)
