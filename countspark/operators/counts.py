@@ -24,9 +24,15 @@ def base_rates(df: DataFrame, label: str = "y") -> DataFrame:
     return df.agg(_pos(label), _neg(label))
 
 
-def cube(df: DataFrame, spec: DatasetSpec) -> DataFrame:
-    """(features, n_pos, n_neg): the rows as one line for each combination of feature values."""
-    return spec.prepared(df).groupBy(*spec.features).agg(_pos(spec.label), _neg(spec.label))
+def cube(df: DataFrame, spec: DatasetSpec, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, features, n_pos, n_neg): the rows as one line for each combination of feature values, and of the columns `by`."""
+    return spec.prepared(df).groupBy(*by, *spec.features).agg(_pos(spec.label), _neg(spec.label))
+
+
+def by_label(counts: DataFrame, label: str = "y") -> DataFrame:
+    """A cube's lines with a label and n, the rows that have it, in place of the class counts."""
+    sides = F.array(F.struct(F.lit(1).alias(label), F.col("n_pos").alias("n")), F.struct(F.lit(0).alias(label), F.col("n_neg").alias("n")))
+    return counts.select("*", F.explode(sides).alias("_side")).select("*", "_side.*").drop("_side", "n_pos", "n_neg").filter("n > 0")
 
 
 def _long(df: DataFrame, spec: DatasetSpec, keep: list[str]) -> DataFrame:
@@ -135,5 +141,7 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(column).agg(F.count("*").alias("cnt"))
 
 
-def agreement(df: DataFrame, a: str, b: str) -> DataFrame:
-    return df.agg(F.avg((F.col(a) == F.col(b)).cast("double")).alias("agreement"))
+def agreement(df: DataFrame, a: str, b: str, weight: str | None = None) -> DataFrame:
+    """The share of rows whose two columns are equal; weight: a column of how many rows a row stands for."""
+    same, n = F.col(a) == F.col(b), F.lit(1) if weight is None else F.col(weight)
+    return df.agg(F.try_divide(F.sum(F.when(same, n).when(~same, 0)), F.sum(F.when(same.isNotNull(), n))).alias("agreement"))

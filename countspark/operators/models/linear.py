@@ -148,9 +148,10 @@ class Logistic:
         return out.withColumn("pred", (F.col("risk") >= self.threshold).cast("int"))
 
 
-def fit_platt(scored: DataFrame, score: str = "risk", label: str = "y", steps: int = 50) -> tuple[float, float]:
-    """(a, b) of P(y = 1) = sigmoid(a score + b), by Newton steps on sums over the distinct scores."""
-    points = scored.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("p"), F.count("*").alias("n")).persist()
+def fit_platt(scored: DataFrame, score: str = "risk", label: str = "y", steps: int = 50, weight: str | None = None) -> tuple[float, float]:
+    """(a, b) of P(y = 1) = sigmoid(a score + b), by Newton steps on sums over the distinct scores. weight: a column of how many rows a row stands for."""
+    each = F.lit(1) if weight is None else F.col(weight)
+    points = scored.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, each).otherwise(0)).alias("p"), F.sum(each).alias("n")).persist()
     a, b = 1.0, 0.0
     try:
         for _ in range(steps):

@@ -24,9 +24,10 @@ def comparison(scored: dict[str, DataFrame], threshold: float = 0.5, **how) -> D
     return out
 
 
-def confusion_cells(scored: DataFrame, pred: str = "pred", label: str = "y") -> DataFrame:
-    """(actual, predicted, n)."""
-    return scored.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(F.count("*").alias("n"))
+def confusion_cells(scored: DataFrame, pred: str = "pred", label: str = "y", weight: str | None = None) -> DataFrame:
+    """(actual, predicted, n). weight: a column of how many rows a row stands for."""
+    n = F.count("*") if weight is None else F.sum(weight)
+    return scored.groupBy(F.col(label).alias("actual"), F.col(pred).alias("predicted")).agg(n.alias("n"))
 
 
 def validation(a: DataFrame, b: DataFrame, key: list[str], label: str = "y", order: list[str] | None = None) -> DataFrame:

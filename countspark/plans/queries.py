@@ -15,9 +15,9 @@ from countspark.functions.math import DOUBLING, apply_platt, power_law, recalibr
 from countspark.operators import analysis, baselines, counts, metrics, neighbours, quantiles, report, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
 from countspark.plans import model_sql
-from countspark.plans.spec import RISK, DatasetSpec, risk_view, test_of, train_of
+from countspark.plans.spec import RISK, DatasetSpec, in_test, risk_view, test_of, train_of
 from countspark.sources import datagen, records, scan
-from countspark.sources.scratch import shared_folder
+from countspark.sources.scratch import shared_folder, written
 from countspark.streaming import counts as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -306,6 +306,15 @@ def nb_scored(spark, sf_dir) -> DataFrame:
     return fitted_nb(spark, sf_dir).transform(test_of(risk_view(spark, sf_dir)))
 
 
+def nb_counted(spark, sf_dir) -> DataFrame:
+    """(risk, pred, y, n): the rows of nb_scored(), of which n are alike. Lines that agree in all features have one score, so both parts of the lines are
+    counted by features in one pass: some counts fit the model, which scores the others."""
+    cells = written(counts.cube(in_test(risk_view(spark, sf_dir)), RISK, by=("in_test",)))  # as many rows as the domains allow
+    train = cells.filter("not in_test")
+    model = naive_bayes.NaiveBayes.fit(counts.marginals_of_cube(train, RISK), RISK, *totals(train))
+    return model.transform(counts.by_label(cells.filter("in_test"))).select("risk", "pred", "y", "n")
+
+
 @query(f"WITH {NB_SQL} SELECT l_orderkey, l_linenumber, {_R('risk')} AS risk, pred FROM nb")
 def nb_scores(spark, sf_dir):
     return scores(nb_scored(spark, sf_dir))
@@ -313,7 +322,7 @@ def nb_scores(spark, sf_dir):
 
 @query(f"WITH {NB_SQL} " + confusion_sql("nb", "pred = 1"))
 def nb_confusion(spark, sf_dir):
-    return rounded(metrics.confusion(nb_scored(spark, sf_dir), F.col("pred")))
+    return rounded(metrics.confusion(nb_counted(spark, sf_dir), F.col("pred"), weight="n"))
 
 
 @query(f"WITH {RISK_SQL}, spread AS (SELECT feature, max(lik_pos) - min(lik_pos) AS s FROM lik GROUP BY feature) SELECT feature, {_R('s / (SELECT max(s) FROM spread)')} AS importance FROM spread")
@@ -527,12 +536,12 @@ _CURVE = "nbr AS (SELECT round(risk, 9) AS s, y FROM nb), pts AS (SELECT s, coun
 
 
 def nb_curve(spark, sf_dir) -> DataFrame:
-    return metrics.curve(nb_scored(spark, sf_dir), F.round("risk", 9))
+    return metrics.curve(nb_counted(spark, sf_dir), F.round("risk", 9), weight="n")
 
 
 @query(f"WITH {NB_SQL} " + confusion_sql("nb", "risk >= 0.3"))
 def confusion_metrics(spark, sf_dir):
-    return rounded(metrics.evaluate_with(nb_scored(spark, sf_dir), F.col("risk"), threshold=0.3))
+    return rounded(metrics.evaluate_with(nb_counted(spark, sf_dir), F.col("risk"), threshold=0.3, weight="n"))
 
 
 @query(f"WITH {NB_SQL}, {_CURVE} SELECT {_R('sum(n * (tp - p / 2.0::DOUBLE)) / (max(np) * max(nn))')} AS roc_auc FROM cv CROSS JOIN al")
@@ -560,8 +569,7 @@ mranks AS (SELECT {_R('max(2 * tp / (tp + fp + np))')} AS f1_shifted FROM mcv CR
 
 @query(f"WITH {NB_SQL}, {_CURVE}{_FULL} SELECT c.*, r.*, m.*, {_R(_PRIOR)} AS cohort_prior, 0.015::DOUBLE AS population_prior, 0.5::DOUBLE AS threshold FROM ({confusion_sql('nbr', 's >= 0.5')}) c CROSS JOIN ranks r CROSS JOIN mranks m")
 def full_metrics(spark, sf_dir):
-    with held(nb_scored(spark, sf_dir).select("y", F.round("risk", 9).alias("risk"))) as scored:
-        return rounded(metrics.metrics(scored))
+    return rounded(metrics.metrics(nb_counted(spark, sf_dir).select("y", "n", F.round("risk", 9).alias("risk")), weight="n"))
 
 
 _SHIFT = "(risk / (1 - risk) * (0.015 / 0.4) * ((1 - 0.4) / (1 - 0.015)))"
@@ -579,13 +587,13 @@ def platt_apply(spark, sf_dir):
 
 @query(model_sql.platt(f"{NB_SQL}, {_CURVE}", "pts"))
 def platt_fit(spark, sf_dir):
-    return rounded(spark.createDataFrame([linear.fit_platt(nb_scored(spark, sf_dir).select("y", F.round("risk", 9).alias("risk")))], "a double, b double"), 4)
+    return rounded(spark.createDataFrame([linear.fit_platt(nb_counted(spark, sf_dir).select("y", "n", F.round("risk", 9).alias("risk")), weight="n")], "a double, b double"), 4)
 
 
 @query(f"WITH {NB_SQL} SELECT {_R('avg(CAST(pred = CAST(risk >= 0.4 AS INTEGER) AS DOUBLE))')} AS agreement FROM nb")
 def model_agreement(spark, sf_dir):
-    scored = nb_scored(spark, sf_dir).withColumn("other", (F.col("risk") >= 0.4).cast("int"))
-    return rounded(counts.agreement(scored, "pred", "other"))
+    scored = nb_counted(spark, sf_dir).withColumn("other", (F.col("risk") >= 0.4).cast("int"))
+    return rounded(counts.agreement(scored, "pred", "other", weight="n"))
 
 
 @query(f"""WITH {RISK_SQL}, d AS (SELECT 'train' AS split, count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_pos FROM train UNION ALL SELECT 'test', count(*), count(*) FILTER (WHERE y = 1) FROM test),
@@ -857,7 +865,7 @@ for _kind in ("tree", "logistic", "svm"):
 
 @query(f"WITH {NB_SQL} SELECT CAST(y AS INTEGER) AS actual, pred AS predicted, count(*) AS n FROM nb GROUP BY 1, 2")
 def confusion_cells(spark, sf_dir):
-    return report.confusion_cells(nb_scored(spark, sf_dir))
+    return report.confusion_cells(nb_counted(spark, sf_dir), weight="n")
 
 
 @query(f"WITH {NB_SQL}, sd AS (SELECT l_orderkey, l_linenumber, {_R('risk')} AS risk FROM nb), dc AS (SELECT *, CASE WHEN risk >= 0.5 THEN 'DENY' ELSE 'APPROVE' END AS decision FROM sd) SELECT * FROM dc QUALIFY row_number() OVER (PARTITION BY decision ORDER BY l_orderkey, l_linenumber, risk) <= 5")

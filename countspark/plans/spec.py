@@ -106,6 +106,11 @@ def risk_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_test(df: DataFrame, name: str = "in_test") -> DataFrame:
+    """df with a column that is true where test_of() keeps the row."""
+    return df.withColumn(name, F.pmod("l_orderkey", F.lit(5)) == 0)
+
+
 def train_of(df: DataFrame) -> DataFrame:
     return df.filter(F.pmod("l_orderkey", F.lit(5)) != 0)
 

@@ -6,9 +6,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from countspark.operators import analysis, baselines, counts, metrics, suppress
+from countspark.operators import analysis, baselines, counts, metrics, report, suppress
 from countspark.operators.models import histogram, linear, naive_bayes, trees
+from countspark.plans import queries
 from countspark.plans.spec import DatasetSpec, discover
 
 SPEC = DatasetSpec({"color": ["red", "blue", "green"], "shape": ["round", "square"], "size": ["1", "2", "3", "10"]}, numeric=("score",), parents={"shape": ("color",)})
@@ -263,6 +265,43 @@ def test_metrics(spark, rows):
     assert got.f1_shifted == pytest.approx(f1) and got.tp == sum(a >= 0.5 for a in pos)
 
 
+def test_metrics_read_rows_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def score(x):
+        read.add(1)
+        return x
+
+    df = spark.range(100).select(F.udf(score, "double")(F.col("id") / 100).alias("risk"), (F.col("id") % 3 == 0).cast("int").alias("y"))
+    got = metrics.metrics(df).first()
+    assert (got.tp + got.fn, got.fp + got.tn) == (34, 66)
+    assert read.value == 100
+
+
+def test_metrics_of_counts(spark, rows):
+    data = [(r["score"] / 4, r["y"]) for r in rows] + [(None, 1), (0.5, None)]
+    df = spark.createDataFrame(data, "risk double, y int").withColumn("pred", (F.col("risk") >= 0.6).cast("int"))
+    cells = df.groupBy("risk", "y", "pred").agg(F.count("*").alias("n"))
+    both = lambda f: (f(df, None), f(cells, "n"))
+    for f in (
+        lambda d, w: metrics.metrics(d, weight=w),
+        lambda d, w: metrics.evaluate_with(d, F.col("risk"), weight=w),
+        lambda d, w: metrics.ranking(metrics.curve(d, F.col("risk"), weight=w)),
+        lambda d, w: counts.agreement(d, "pred", "y", weight=w),
+        lambda d, w: report.confusion_cells(d.filter("y is not null and pred is not null"), weight=w).orderBy("actual", "predicted"),
+    ):
+        one, other = both(f)
+        assert [tuple(r) for r in one.collect()] == [pytest.approx(tuple(r)) for r in other.collect()]
+    known = df.filter("risk is not null and y is not null")
+    assert linear.fit_platt(known) == pytest.approx(linear.fit_platt(known.groupBy("risk", "y").agg(F.count("*").alias("n")), weight="n"))
+
+
+def test_metrics_of_naive_bayes_join_once(spark):
+    """What these queries return reads counts of the lines, not the lines."""
+    for name in ("full_metrics", "roc_auc", "nb_confusion", "model_agreement", "confusion_cells"):
+        assert not [f for f in queries.queries()[name](spark, "/root/testdata/sf0.001").inputFiles() if "lineitem" in f]
+
+
 def test_one_class_has_no_ranking(spark):
     got = metrics.metrics(spark.createDataFrame([(0.5, 1), (0.7, 1)], "risk double, y int")).first()
     assert got.roc_auc is None and got.pr_auc is None and got.f1_best is None
