@@ -17,6 +17,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,12 +25,26 @@ from countspark.llm.common import at_work, keeps, materialise, ship
 from countspark.llm.split import usual, word_bpe_pieces
 
 CACHE = 100_000_000  # bytes, about, of pieces and ids that a worker keeps
-ROWS = 256  # whose ids are held together: a batch of Spark's has 10,000 texts
+CHARS = 4_000_000  # of texts whose words are looked up together, unless one text is longer
+PIECES = 4096  # that the tokenizer gets at once
+IDS = 1_000_000  # that are held as numbers, unless one text has more; a batch of Spark's has 10,000 texts
 ENTRY = 180  # bytes that an entry takes beside its characters and ids
 
 
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """(first, end) of consecutive items of `most` in sum, or of one larger item."""
+    upto, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(upto, most + (upto[at - 1] if at else 0), "right")))
+        yield at, end
+        at = end
+
+
 class _WordIds:
-    """A tokenizer with the ids of pieces as little-endian bytes; many missing ones are encoded at once."""
+    """A tokenizer that looks words up for many texts at once: each different word between white space is split once, into pieces whose ids are kept.
+
+    No piece holds white space, so the ids of a text are those of its words, one after the other.
+    """
 
     def __init__(self, path: str):
         import os
@@ -45,21 +60,61 @@ class _WordIds:
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def ids(self, text: str) -> bytes:
-        """What the tokenizer gives for a text. Texts of usual characters without special tokens go by cached pieces."""
-        low = text.lower()
-        if "<|" in text or not usual(low):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        parts = word_bpe_pieces(low)
+        """What the tokenizer gives for a text, as little-endian unsigned 32-bit integers."""
+        return b"".join(x.to_pylist()[0] for x in self.of([text]))
+
+    def of(self, texts: list[str], end: bytes = b"") -> Iterator[pa.Array]:
+        """The ids of all texts in turn, each followed by `end`, as arrays of binaries."""
+        for a, b in _runs(np.array([len(t) for t in texts]), CHARS):
+            yield from self._block(texts[a:b], end)
+
+    def _block(self, texts: list[str], end: bytes) -> Iterator[pa.Array]:
+        # Texts of usual characters without special tokens go by words, the others whole; a last entry of each text holds what isn't words.
+        tails, last, low = [end], np.zeros(len(texts), np.int32), []
+        for i, text in enumerate(texts):
+            lowered = text.lower()
+            if "<|" in text or not usual(lowered):
+                last[i] = len(tails)
+                tails.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end)
+                lowered = ""
+            low.append(lowered)
+        split = pc.ascii_split_whitespace(pa.array(low, pa.large_string()))
+        del low
+        coded = split.values.dictionary_encode()
+        words, codes, ends = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy(), split.offsets.to_numpy()
+        del split, coded
+        found, sizes = self._words(words)
+        pool = np.frombuffer(found + b"".join(tails), "<u4")
+        sizes = np.concatenate([sizes, np.array([len(t) // 4 for t in tails])])
+        starts = np.cumsum(sizes) - sizes
+        n_words = np.diff(ends)
+        before = np.concatenate([[0], np.cumsum(sizes[codes])])[ends]
+        for a, b in _runs(np.diff(before) + sizes[len(words) + last], IDS):
+            own = np.insert(codes[ends[a] : ends[b]], ends[a + 1 : b + 1] - ends[a], len(words) + last[a:b])
+            counts = sizes[own]
+            upto = np.cumsum(counts)
+            ids = pool[np.repeat(starts[own] - upto + counts, counts) + np.arange(upto[-1])]
+            offsets = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(n_words[a:b] + 1)])]
+            yield pa.Array.from_buffers(pa.binary(), b - a, [None, pa.array(4 * offsets, pa.int32()).buffers()[1], pa.py_buffer(ids)])
+
+    def _words(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """The ids of all words in turn, and how many each has."""
+        parts = word_bpe_pieces("\n".join(words), marks=True)
         if self.held > CACHE:
             self.known.clear()
             self.held = 0
-        if missing := list(set(parts).difference(self.known)):
-            found = [x.ids for x in self.pieces.encode_batch_fast(missing, add_special_tokens=False)]
+        self.known["\n"] = b""
+        missing = list(set(parts).difference(self.known))
+        for some in (missing[i : i + PIECES] for i in range(0, len(missing), PIECES)):
+            found = [x.ids for x in self.pieces.encode_batch_fast(some, add_special_tokens=False)]
             ends = np.cumsum([4 * len(x) for x in found]).tolist()
             packed = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
-            self.held += sum(map(len, missing)) + len(packed) + ENTRY * len(missing)
-            self.known.update(zip(missing, [packed[s:e] for s, e in zip([0, *ends], ends)]))
-        return b"".join(map(self.known.__getitem__, parts))
+            self.held += sum(map(len, some)) + len(packed) + ENTRY * len(some)
+            self.known.update(zip(some, [packed[s:e] for s, e in zip([0, *ends], ends)]))
+        each = list(map(self.known.__getitem__, parts))
+        upto = np.concatenate([[0], np.cumsum(np.fromiter(map(len, each), np.int64, len(each)))]) // 4
+        marks = np.flatnonzero(np.fromiter(map("\n".__eq__, parts), bool, len(parts)))
+        return b"".join(each), np.diff(upto[np.concatenate([[0], marks, [len(parts)]])])[: len(words)]
 
 
 @lru_cache(maxsize=2)
@@ -78,9 +133,11 @@ def token_ids(docs: DataFrame, path: str, end_id: int = 1, id_col: str = "doc_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at_work("packing")
         tokenizer = _tokenizer(path)
-        for batch in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
-            ids = [tokenizer.ids(t.as_py() or "") + end for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["id", "ids"])
+        for batch in batches:
+            at = 0
+            for ids in tokenizer.of([t or "" for t in batch.column(1).to_pylist()], end):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(ids)), ids], names=["id", "ids"])
+                at += len(ids)
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

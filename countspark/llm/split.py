@@ -12,6 +12,7 @@ _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x7eÀ-ÖØ-öø-ſ‘’“”–—…
 _SUFFIX = "'s|'t|'re|'ve|'m|'ll|'d"
 _BYTE_BPE = re.compile(rf"{_SUFFIX}| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 _WORD_BPE = re.compile(rf"{_SUFFIX}|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+_WORD_BPE_LINES = re.compile(_WORD_BPE.pattern + r"|\n")
 
 
 def usual(text: str) -> bool:
@@ -24,6 +25,6 @@ def byte_bpe_pieces(pattern: str):
     return lambda text: (_BYTE_BPE if usual(text) else whole).findall(text)
 
 
-def word_bpe_pieces(text: str) -> list[str]:
-    """The pieces of a lower-cased text for which usual() holds."""
-    return _WORD_BPE.findall(text)
+def word_bpe_pieces(text: str, marks: bool = False) -> list[str]:
+    """The pieces of a lower-cased text for which usual() holds; marks: ends of lines, too."""
+    return (_WORD_BPE_LINES if marks else _WORD_BPE).findall(text)

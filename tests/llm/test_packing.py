@@ -33,6 +33,24 @@ def test_ids_of_odd_texts(theirs):
         assert np.frombuffer(packing._tokenizer(PATH).ids(text), "<u4").tolist() == theirs.encode(text, add_special_tokens=False).ids
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.sampled_from(TEXTS), st.text(max_size=30), st.text(alphabet="abE's 'te1!_é\n\t\r\x0b", max_size=30)), max_size=12), st.integers(1, 80), st.integers(1, 40))
+def test_ids_of_many_texts(theirs, texts, chars, ids):
+    """Whatever texts are looked up together."""
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "CHARS", chars)
+        m.setattr(packing, "IDS", ids)
+        got = [x for a in packing._tokenizer(PATH).of(texts, b"\7\0\0\0") for x in a.to_pylist()]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [[*theirs.encode(t, add_special_tokens=False).ids, 7] for t in texts]
+
+
+def test_a_word_is_split_once(monkeypatch):
+    split, seen = packing.word_bpe_pieces, []
+    monkeypatch.setattr(packing, "word_bpe_pieces", lambda t, *more, **how: seen.append(len(t)) or split(t, *more, **how))
+    assert sum(len(a) for a in packing._WordIds(PATH).of(["alpha beta, gamma 12\n"] * 1000)) == 1000
+    assert sum(seen) < 100
+
+
 def bins_of(counts, capacity):
     segments, n = packing.plan(counts, capacity)
     content, seen = defaultdict(list), defaultdict(list)
